@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, secrets
+from tidemark.llm import license_scan, mixing, secrets, simhash
 
 
 def queries():
     return {
+        "op6_simhash": simhash.query,
+        "op7_license_scan": license_scan.query,
         "op8_source_mix": mixing.query,
         "op9_secret_scan": secrets.query,
     }
