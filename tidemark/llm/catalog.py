@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import license_scan, mixing, secrets, simhash
+from tidemark.llm import license_scan, mixing, quality_rules, secrets, simhash
 
 
 def queries():
     return {
+        "op2_quality_rules": quality_rules.query,
         "op6_simhash": simhash.query,
         "op7_license_scan": license_scan.query,
         "op8_source_mix": mixing.query,
