@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import license_scan, mixing, quality_rules, secrets, simhash
+from tidemark.llm import license_scan, mixing, quality_rules, secrets, simhash, toxicity
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op7_license_scan": license_scan.query,
         "op8_source_mix": mixing.query,
         "op9_secret_scan": secrets.query,
+        "op10_toxicity": toxicity.query,
     }
 
 
