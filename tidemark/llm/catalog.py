@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import license_scan, mixing, quality_rules, secrets, simhash, suffix_dedup, suffix_tree_lm, toxicity
+from tidemark.llm import decontaminate, license_scan, mixing, quality_rules, secrets, simhash, suffix_dedup, suffix_tree_lm, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op2_quality_rules": quality_rules.query,
         "op3_repeated_bytes": suffix_dedup.query,
         "op4_suffix_tree_lm": suffix_tree_lm.query,
+        "op5_decontaminate": decontaminate.query,
         "op6_simhash": simhash.query,
         "op7_license_scan": license_scan.query,
         "op8_source_mix": mixing.query,
