@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, license_scan, mixing, quality_rules, secrets, simhash, suffix_dedup, suffix_tree_lm, toxicity
+from tidemark.llm import decontaminate, license_scan, line_dedup, mixing, quality_rules, secrets, simhash, suffix_dedup, suffix_tree_lm, toxicity
 
 
 def queries():
     return {
+        "op1_line_dedup": line_dedup.query,
         "op2_quality_rules": quality_rules.query,
         "op3_repeated_bytes": suffix_dedup.query,
         "op4_suffix_tree_lm": suffix_tree_lm.query,
