@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -44,3 +45,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(at, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
     return data, at - at[0]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path below the shared checkpoint folder, for tables that a job writes and reads again."""
+    checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
