@@ -19,13 +19,13 @@ columns are not looked at.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, words_of
 
-#: Rows in a bucket of the order, about.
-BUCKET_ROWS = 4096
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
 #: Most times a source may be gone through.
@@ -68,14 +68,15 @@ def invert_ramp(share: Column, weight: Column, ramps=RAMPS) -> Column:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, ramps=RAMPS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row a document: doc_id, source, size, source_size, target, taken, positions, position, and the columns in keep.
+    """A row a document: doc_id, source, size, source_size, target, taken, positions, position, and the columns in keep (but for those of these names).
 
     positions: when in training (0 to 1) each copy comes, to nine digits; position: the first of them, null if nothing is taken.
     """
     text = F.col("text")
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    sized = cut(docs.select("doc_id", "source", *keep, F.size(words_of(text)).cast("long").alias("size"), F.coalesce(order, F.lit("")).alias("order_key")))
-    n_buckets = 1 + sized.count() // BUCKET_ROWS
+    kept = [c for c in keep if c not in ("doc_id", "source", "size", "source_size", "target", "taken", "positions", "position")]
+    sized = cut(docs.select("doc_id", "source", F.struct(*kept).alias("kept") if kept else F.lit(None).cast("string").alias("kept"), F.size(words_of(text)).cast("long").alias("size"), F.coalesce(order, F.lit("")).alias("order_key")))
+    n_buckets = 1 + isqrt(sized.count())  # so that neither a bucket nor the list of buckets gets long
     # the order key's first 32 bits, spread over the buckets in its own order
     sized = sized.withColumn("bucket", F.floor(F.coalesce(F.conv(F.substring("order_key", 1, 8), 16, 10).cast("long"), F.lit(0)) * F.lit(n_buckets) / F.lit(2.0**32)).cast("long"))
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -93,12 +94,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, ramps=RAMPS, keep: t
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before"))).cast("long")
     share = lambda e: (e * F.col("source_size") + F.col("before") + F.when(e < F.col("rounds"), F.col("size")).otherwise(F.col("part")) / 2) / F.floor("target")
     return (
-        joined.select("d.doc_id", "d.source", *[f"d.{c}" for c in keep], "d.size", "s.weight", "s.source_size", "s.target", (F.col("inside") + F.col("offset")).alias("before"))
+        joined.select("d.doc_id", "d.source", "d.kept", "d.size", "s.weight", "s.source_size", "s.target", (F.col("inside") + F.col("offset")).alias("before"))
         .withColumn("rounds", rounds)
         .withColumn("part", F.when(whole, part).otherwise(0).cast("long"))
         .withColumn("copies", (F.when(F.col("size") > 0, F.col("rounds")).otherwise(0) + (F.col("part") > 0).cast("int")).cast("int"))
         .withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda e: F.round(invert_ramp(share(e), F.col("weight"), ramps), 9))).otherwise(F.array().cast("array<double>")))
-        .select("doc_id", "source", *keep, "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("part")).cast("long").alias("taken"), "positions", F.get("positions", F.lit(0)).alias("position"))
+        .select("doc_id", "source", *[f"kept.`{c}`" for c in kept], "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("part")).cast("long").alias("taken"), "positions", F.get("positions", F.lit(0)).alias("position"))
     )
 
 

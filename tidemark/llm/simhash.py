@@ -121,10 +121,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, kee
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest id stays (of equal ids, one)."""
     columns = docs.columns
-    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    marked = near_duplicates(numbered, radius, keep=("_row",))
-    first = marked.groupBy("component_id").agg(F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(True)), "_row")).alias("first"))
-    return numbered.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*columns)
+    numbered = cut(docs.withColumn("_tm_row", F.monotonically_increasing_id()))
+    marked = near_duplicates(numbered, radius, keep=("_tm_row",))
+    first = marked.groupBy("component_id").agg(F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(True)), "_tm_row")).alias("first"))
+    return numbered.join(first.select(F.col("first._tm_row").alias("_tm_row")), "_tm_row", "left_semi").select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

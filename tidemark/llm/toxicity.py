@@ -295,142 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars:
     return train([t for t, _ in rows], [c for _, c in rows])
 
 
-def score(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(logit of every window, its words, its text)."""
-        index, text = words.windows()
-        x = self.inputs(words.bucket, words.grams, words.at, words.size)
-        tables = {way: x @ self.p[f"W{way}"] + self.p[f"b{way}"] for way in "fb"}
-        out = np.empty(len(index), np.float32)
-        for i in range(0, len(index), BLOCK):
-            part = index[i : i + BLOCK]
-            mask = part < len(words.bucket)
-            states = np.concatenate([self.layer(way, tables[way], part, mask, None) for way in "fb"], axis=2)
-            out[i : i + BLOCK] = self.attend(states, mask)[3]
-        return out, index, text
-
-    def gradients(self, x: np.ndarray, index: np.ndarray, pad: int, label: np.ndarray) -> tuple[float, dict, np.ndarray]:
-        """(loss, gradients of all but the embeddings, gradient of x), x a row for each distinct word."""
-        p, h, mask = self.p, HIDDEN, index < pad
-        kept: dict[str, list] = {"f": [], "b": []}
-        tables = {way: x @ p[f"W{way}"] + p[f"b{way}"] for way in "fb"}
-        states = np.concatenate([self.layer(way, tables[way], index, mask, kept[way]) for way in "fb"], axis=2)
-        u, weight, pooled, logit = self.attend(states, mask)
-        prob = _sigmoid(logit)
-        loss = float(-np.mean(np.log(np.where(label > 0, prob, 1 - prob) + 1e-7)))
-        d = ((prob - label) / len(label)).astype(np.float32)
-        g = {"out": pooled.T @ d, "bias": d.sum(keepdims=True)}
-        dp = d[:, None] * p["out"]
-        dw = np.einsum("bh,tbh->tb", dp, states)
-        ds = weight * (dw - (weight * dw).sum(axis=0)) * mask.T
-        du = ds[:, :, None] * p["v"] * (1 - u * u)
-        g |= {"v": np.einsum("tb,tbh->h", ds, u), "A": np.einsum("tbi,tbj->ij", states, du), "a": du.sum(axis=(0, 1))}
-        dh = weight[:, :, None] * dp + du @ p["A"].T
-        dx = np.zeros_like(x)
-        for k, way in enumerate("fb"):
-            U = p[f"U{way}"]
-            gU, gc, carry = np.zeros_like(U), np.zeros(h, np.float32), np.zeros((len(index), h), np.float32)
-            dtable = np.zeros_like(tables[way])
-            for t, state, z, r, n, inner in reversed(kept[way]):
-                at = carry + dh[t, :, k * h : k * h + h]
-                m = mask[:, t, None]
-                new, carry = at * m, at * ~m
-                dn = new * (1 - z) * (1 - n * n)
-                dz, dr, di = new * (state - n) * z * (1 - z), dn * inner * r * (1 - r), dn * r
-                pre = np.concatenate([dz, dr, di], axis=1)
-                carry += new * z + pre @ U.T
-                gU += state.T @ pre
-                gc += di.sum(axis=0)
-                np.add.at(dtable, index[:, t], np.concatenate([dz, dr, dn], axis=1))
-            dtable[pad] = 0
-            g |= {f"W{way}": x.T @ dtable, f"b{way}": dtable.sum(axis=0), f"U{way}": gU, f"c{way}": gc}
-            dx += dtable @ p[f"W{way}"].T
-        return loss, g, dx
-
-
-class Adam:
-    def __init__(self, p: dict[str, np.ndarray]) -> None:
-        self.m, self.v, self.n = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-
-    def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
-        self.n += 1
-        for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.001 * (x * x - self.v[k])
-            p[k] -= rate * (self.m[k] / (1 - 0.9**self.n)) / (np.sqrt(self.v[k] / (1 - 0.999**self.n)) + 1e-7)
-
-
-def _telling(words: Words, label: np.ndarray) -> np.ndarray:
-    """For each distinct word, how much more often toxic texts hold it, or the most telling of its trigrams (log odds)."""
-    text = np.repeat(np.arange(len(label)), np.diff(words.doc))
-
-    def odds(keys: np.ndarray, texts: np.ndarray, n: int) -> np.ndarray:
-        pair = np.unique(keys * len(label) + texts)
-        key, toxic = pair // len(label), label[pair % len(label)]
-        yes, no = np.bincount(key, toxic, n), np.bincount(key, 1 - toxic, n)
-        return np.where(yes + no >= 4, np.log((yes + 0.5) * (1 - label).sum() / ((no + 0.5) * label.sum())), 0)
-
-    own = odds(words.which, text, len(words.bucket))
-    size = words.size[words.which]
-    ends = np.cumsum(size)
-    flat = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(words.at[words.which], size)
-    grams = odds(words.grams[flat], np.repeat(text, size), TRIGRAM_BUCKETS)
-    return np.maximum(own, np.maximum.reduceat(grams[words.grams], words.at)) if len(words.bucket) else own
-
-
-def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int = 11) -> Network:
-    """Fit a network on labelled texts (a bounded sample)."""
-    net, g = Network(seed), np.random.default_rng(seed)
-    label = np.array(labels, np.float32)
-    words = Words(*text_bytes(pa.array(texts, pa.string())))
-    index, text = words.windows()
-    if not len(index) or not 0 < label.sum() < len(label):
-        net.p["bias"][:] = -30
-        return net
-    adam, pad = Adam(net.p), len(words.bucket)
-    first = np.flatnonzero(np.diff(text, prepend=-1))
-    worst = np.append(_telling(words, label), -30.0)[index].max(axis=1)
-    for no in range(rounds):
-        if no:
-            worst = net.score(words)[0]
-        best = np.maximum.reduceat(worst, first)
-        near = worst >= np.repeat(best, np.diff(np.append(first, len(text)))) - 1e-6
-        toxic = np.flatnonzero(near & (label[text] > 0))
-        clean = np.concatenate([np.flatnonzero(near & (label[text] == 0)), g.choice(np.flatnonzero(label[text] == 0), 4 * len(toxic))])
-        chosen = g.permutation(np.concatenate([toxic, clean]))
-        for i in range(0, len(chosen), BATCH):
-            part = index[chosen[i : i + BATCH]]
-            used, local = np.unique(np.append(part, pad), return_inverse=True)
-            local, used = local[:-1].reshape(part.shape), used[:-1]
-            size = words.size[used]
-            at = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-            flat = np.arange(size.sum()) - np.repeat(at, size) + np.repeat(words.at[used], size)
-            grams, bucket = words.grams[flat], words.bucket[used]
-            x = net.inputs(bucket, grams, at, size)
-            seen = (g.random(len(used)) > 0.25).astype(np.float32)[:, None]  # now and then a word has to be known by its letters
-            x[:-1, :EMBED] *= seen
-            _, grad, dx = net.gradients(x, local, len(used), label[text[chosen[i : i + BATCH]]])
-            grad["word"], grad["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
-            np.add.at(grad["word"], bucket, dx[:-1, :EMBED] * seen)
-            np.add.at(grad["gram"], grams, np.repeat(dx[:-1, EMBED:] / size[:, None], size, axis=0))
-            adam.step(net.p, grad, RATE * (1 - 0.8 * no / rounds))
-    return net
-
-
-def held_out(doc_id):
-    """Rows that no label may be learned from."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Network:
-    """A network trained on at most max_rows labelled texts of each class that are not held out."""
-    usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars)).join(usable, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"), F.min(F.xxhash64("doc_id")).alias("order"))
-    rows = [r for c in (0, 1) for r in texts.where(F.col("toxic") == c).orderBy("order").limit(max_rows).collect()]
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
-
-
-def score(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep and the score, a row a document."""
+def score(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns in keep and the score, under a name that is not among them, a row a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -443,10 +309,10 @@ def score(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",)) ->
                 logit, _, text = net.score(Words(data[at[i] : at[j]], at[i : j + 1] - at[i]))
                 np.maximum.at(out, i + text, _sigmoid(logit.astype(np.float64)))
                 i = j
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out)], names=[*keep, name])
 
     picked = docs.select(*dict.fromkeys((*keep, "text")))
-    return picked.mapInArrow(run, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double")
+    return picked.mapInArrow(run, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
