@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def strip(c: Column) -> Column:
@@ -15,7 +16,7 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_upper(s: pd.Series) -> pd.Series:
     """NFKC, then upper case character by character (a character whose upper case is longer stays). Spark has no function for either."""
     one = lambda ch: u if len(u := ch.upper()) == 1 else ch
