@@ -44,7 +44,7 @@ PRIOR = 4.0
 WORD_PART = 0.5
 HEAD_SHARE = 1e-6
 #: Bytes of text whose counts share a bucket, about; buckets at least; bytes that are worked on at once.
-BUCKET_BYTES, BUCKETS, BLOCK = 16 << 20, 48, 6 << 20
+BUCKET_BYTES, BUCKETS, BLOCK = 16 << 20, 48, 2 << 20
 
 END = 10
 _LOWER = np.arange(256, dtype=np.uint8)
