@@ -44,7 +44,7 @@ ASIDE = SPAN - GRAM
 #: Bytes of text whose entries share a bucket, about; buckets at least.
 BUCKET_BYTES, BUCKETS = 16 << 20, 64
 #: Bytes of text that are worked on at once.
-BLOCK = 8 << 20
+BLOCK = 3 << 20
 LAST = (1 << 63) - 1
 
 _RANDOM = np.random.default_rng(5)
