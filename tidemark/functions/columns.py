@@ -159,3 +159,10 @@ def digest(*parts: Column) -> Column:
 
 def evidence_id(run_id: Column, check_id: Column, key: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", run_id, check_id, key).cast("binary"), 256)
+
+
+def typed_order(c: Column) -> Column:
+    """A sort key for text of mixed kinds: numbers by value, then dates, then text by its bytes; null first."""
+    number, day = as_decimal(c), as_date(c)
+    kind = F.when(c.isNull(), 0).when(number.isNotNull(), 1).when(day.isNotNull(), 2).otherwise(3)
+    return F.struct(kind.alias("kind"), number.alias("number"), day.alias("day"), c.alias("text"))

@@ -123,3 +123,18 @@ def restored_differences(baseline: DataFrame, restored: DataFrame) -> DataFrame:
     """Rows that a restore lost or added, as bags, with side."""
     restored = restored.select(*baseline.columns)
     return baseline.exceptAll(restored).withColumn("side", F.lit("lost")).unionByName(restored.exceptAll(baseline).withColumn("side", F.lit("added")))
+
+
+def report(findings: DataFrame, coverage: DataFrame) -> DataFrame:
+    """What a run comes to, as rows (section, item, n): findings by result and by check and code, and the gaps in accounting and lineage."""
+    rows = [
+        findings.groupBy(F.col("result").alias("item")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("result").alias("section"), "item", "n"),
+        by_check(findings.where("result = 'fail'")).select(F.lit("failed").alias("section"), F.concat_ws("/", "check_id", "code").alias("item"), "n"),
+        coverage.select(F.lit("coverage").alias("section"), F.col("what").alias("item"), "n"),
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def dangling_evidence(findings: DataFrame, references: DataFrame) -> DataFrame:
+    """References (from_id, to_id) to evidence that is not there."""
+    return references.join(evidence(findings).select(F.col("evidence_id").alias("to_id")), "to_id", "left_anti")

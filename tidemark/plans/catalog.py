@@ -14,6 +14,7 @@ from tidemark.plans import frames as f
 from tidemark.plans.checks import Check, Context, verify
 from tidemark.plans.mapping import Edge, Plan, expected_state
 from tidemark.plans.scope import Predicate, Scope
+from tidemark.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -499,6 +500,36 @@ def verification(spark, d):
     return runs.by_check(flagship(spark, d))
 
 
+@query(f"WITH {f.FINDINGS} SELECT 'c9' AS check_id, 'k0' AS code, 'orders' AS dataset, 'stale' AS reason FROM (SELECT 1) WHERE NOT EXISTS (SELECT 1 FROM before WHERE check_id = 'c9')")
+def annotation_unmatched(spark, d):
+    return runs.unmatched_annotations(f.findings(spark, d, "before"), _notes(spark))
+
+
+@query("SELECT o_orderkey, CAST(1 + o_orderkey % 3 AS INTEGER) AS kind, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_totalprice AS DECIMAL(38,6)) END AS number, CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_orderdate AS DATE) END AS day FROM orders")
+def typed_order(spark, d):
+    k = F.col("o_orderkey")
+    mixed = F.when(k % 3 == 0, F.col("o_totalprice").cast(f.MONEY).cast("string")).when(k % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.col("o_orderpriority"))
+    return f.table(spark, d, "orders").select(k, C.typed_order(mixed).alias("v")).orderBy("v", "o_orderkey").select("o_orderkey", "v.kind", "v.number", "v.day")
+
+
+@query(f"""WITH {f.FINDINGS}, {f.JOURNAL}, p AS ({_DISPOSED}) SELECT 'result' AS section, result AS item, count(*) AS n FROM before GROUP BY 2 UNION ALL SELECT 'failed', check_id || '/' || code, count(*) FROM before WHERE result = 'fail' GROUP BY 2
+UNION ALL SELECT 'coverage', 'disposition_missing', 0 UNION ALL SELECT 'coverage', 'disposition_unexpected', 0 UNION ALL SELECT 'coverage', 'disposition_unaccounted', count(*) FROM p WHERE disposition = 'unaccounted' UNION ALL SELECT 'coverage', 'lineage_missing', count(*) FROM t WHERE target_key NOT IN (SELECT target_key FROM l)
+UNION ALL SELECT 'coverage', 'lineage_unexpected', count(*) FROM l WHERE target_key NOT IN (SELECT target_key FROM t) UNION ALL SELECT 'coverage', 'lineage_unbound', 0""")
+def verification_report(spark, d):
+    return runs.report(f.findings(spark, d, "before"), coverage_summary(spark, d))
+
+
+@query("SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_mktsegment FROM customer")
+def normalised_types(spark, d):
+    return readers.normalised(f.table(spark, d, "customer")).select("c_custkey", "c_nationkey", "c_mktsegment")
+
+
+@query("SELECT 'part' AS field, CASE WHEN count(*) = 0 THEN 'empty' ELSE 'string' END AS inferred, count(*) AS n FROM part UNION ALL SELECT 'size', 'integer', count(*) FROM part UNION ALL SELECT 'price', 'decimal', count(*) FROM part")
+def inferred_types(spark, d):
+    text = f.table(spark, d, "part").select(F.col("p_name").alias("part"), F.col("p_size").cast("string").alias("size"), F.concat(F.col("p_retailprice").cast(f.MONEY).cast("string")).alias("price"))
+    return profile.inferred_types(text, ["part", "size", "price"])
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

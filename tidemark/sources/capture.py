@@ -79,3 +79,13 @@ def read_ledger(spark: SparkSession, root: str, table: str, run_id: str | None =
 
 def ledger_counts(root: str, spark: SparkSession, run_id: str, *tables: str) -> dict[str, int]:
     return {t: read_ledger(spark, root, t, run_id).count() for t in tables}
+
+
+def ledger_fingerprints(root: str, spark: SparkSession, run_id: str, *tables: str) -> dict[str, str]:
+    """The set fingerprint of each of a run's tables."""
+    return {t: set_fingerprint(read_ledger(spark, root, t, run_id).drop("run_id"), t) for t in tables}
+
+
+def same_state(expected: DataFrame, observed: DataFrame, dataset: str) -> bool:
+    """Whether an observed target is the recorded one: equal fingerprints, which hold the counts too."""
+    return set_fingerprint(expected, dataset) == set_fingerprint(observed.select(*expected.columns), dataset)

@@ -153,3 +153,9 @@ def bad_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     null = " OR ".join(f"`{k}` IS NULL" for k in keys)
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(f"n > 1 OR {null}")
     return counted.withColumn("code", F.when(F.expr(null), "null").otherwise("repeated"))
+
+
+def normalised(df: DataFrame) -> DataFrame:
+    """df in the library's value types: integers as long, decimals as they are, floating-point values as text (they have no exact form), times of files in UTC."""
+    cast = {"tinyint": "long", "smallint": "long", "int": "long", "float": "string", "double": "string"}
+    return df.select(*[F.col(f"`{f.name}`").cast(cast[f.dataType.simpleString()]).alias(f.name) if f.dataType.simpleString() in cast else F.col(f"`{f.name}`") for f in df.schema.fields])
