@@ -112,7 +112,7 @@ def _packed(bucket: np.ndarray, entries: np.ndarray, ids: np.ndarray, hashes: np
         chosen = entries[part]
         used, local = np.unique(chosen["text"], return_inverse=True)
         chosen["text"] = local
-        yield int(bucket[part[0]]), kind, ids[used].tobytes(), hashes[used].tobytes(), chosen.tobytes()
+        yield int(bucket[part[0]]), kind, ids[used].tobytes(), hashes[used].tobytes(), (_shortened(chosen) if chosen.dtype == _FIRST else chosen).tobytes()
 
 
 _PACKET = "bucket int, kind int, ids binary, hashes binary, entries binary"
@@ -125,6 +125,22 @@ def _packets(rows: list[tuple]) -> pa.RecordBatch:
 
 
 _FIRST = np.dtype([("key", "<u8"), ("text", "<u4"), ("no", "<u4"), ("sure", "u1")])
+#: The same on its way: of the key what the bucket does not say, no and sure together. Equal short keys of unlike digits
+#: only let a run through to the second digit. A block holds fewer than 65536 texts of SPAN bytes.
+_SHORT = np.dtype([("key", "<u4"), ("text", "<u2"), ("no", "<u4")])
+
+
+def _shortened(entries: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(entries), _SHORT)
+    out["key"], out["text"], out["no"] = entries["key"] >> np.uint64(32), entries["text"], entries["no"] << np.uint32(2) | entries["sure"]
+    return out
+
+
+def _lengthened(packed: bytes) -> np.ndarray:
+    short = np.frombuffer(packed, _SHORT)
+    out = np.zeros(len(short), _FIRST)
+    out["key"], out["text"], out["no"], out["sure"] = short["key"], short["text"], short["no"] >> np.uint32(2), short["no"] & np.uint32(3)
+    return out
 
 
 def _unpacked(table: pa.Table, kind: int, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +148,7 @@ def _unpacked(table: pa.Table, kind: int, dtype: np.dtype) -> tuple[np.ndarray,
     entries, ids, hashes, n = [np.zeros(0, dtype)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for k, i, h, e in zip(*(table.column(c).to_pylist() for c in _PACKET_NAMES[1:])):
         if k == kind:
-            entries.append(np.frombuffer(e, dtype).copy())
+            entries.append(_lengthened(e) if dtype == _FIRST else np.frombuffer(e, dtype).copy())
             entries[-1]["text"] += n
             ids.append(np.frombuffer(i, np.int64))
             hashes.append(np.frombuffer(h, np.int64))
