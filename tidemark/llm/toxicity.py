@@ -32,7 +32,7 @@ WINDOW, STRIDE = 24, 12
 HIDDEN, EMBED = 8, 8
 WORD_BUCKETS, TRIGRAM_BUCKETS = 1 << 15, 1 << 13
 #: Labelled rows of each class that the network is fitted on, and the length of the longest of them.
-MAX_ROWS, MAX_CHARS = 1500, 4000
+MAX_ROWS, MAX_CHARS = 800, 3000
 #: Training rounds; each chooses its windows anew.
 ROUNDS, BATCH, RATE = 6, 256, 0.01
 #: Rows of windows that are scored at once.
