@@ -5,8 +5,8 @@ embeddings, so unseen forms of a known stem are known too. Windows of WINDOW
 words, each half over the next, are scored one by one; a document's score is
 that of its worst window, so whole texts count whatever their length.
 
-The network is trained on a bounded sample of labelled rows (MAX_ROWS of each
-class, by a hash of the id; of at most MAX_CHARS characters each). A label says
+The network is trained on a bounded sample of labelled rows (MAX_ROWS clean
+ones and half as many toxic ones, by a hash of the id; of at most MAX_CHARS characters each). A label says
 only that some window of a toxic document is toxic: training starts from the
 window with the most telling words and then goes over to the window that the
 network itself finds worst, together with the worst windows of clean documents.
@@ -31,8 +31,10 @@ from tidemark.llm.common import text_bytes
 WINDOW, STRIDE = 24, 12
 HIDDEN, EMBED = 8, 8
 WORD_BUCKETS, TRIGRAM_BUCKETS = 1 << 15, 1 << 13
-#: Labelled rows of each class that the network is fitted on, and the length of the longest of them.
-MAX_ROWS, MAX_CHARS = 800, 3000
+#: Clean labelled rows that the network is fitted on (of toxic ones half as many), and the length of the longest of them.
+MAX_ROWS, MAX_CHARS = 1500, 3000
+#: What a window's logit must exceed: the worst of a text's many windows counts, so chance must be kept out.
+MARGIN = 0.8
 #: Training rounds; each chooses its windows anew.
 ROUNDS, BATCH, RATE = 6, 256, 0.01
 #: Rows of windows that are scored at once.
@@ -270,6 +272,7 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
             np.add.at(grad["word"], bucket, dx[:-1, :EMBED] * seen)
             np.add.at(grad["gram"], grams, np.repeat(dx[:-1, EMBED:] / size[:, None], size, axis=0))
             adam.step(net.p, grad, RATE * (1 - 0.8 * no / rounds))
+    net.p["bias"] -= MARGIN
     return net
 
 
@@ -279,7 +282,7 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Network:
-    """A network trained on at most max_rows labelled texts of each class that are not held out.
+    """A network trained on at most max_rows clean and half as many toxic labelled texts that are not held out.
 
     Twice as many labels of each class are drawn, in the order of a hash of their ids; as a bounded
     table they are broadcast to the documents, so no text is shuffled.
@@ -291,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars:
     classes: tuple[dict[str, None], ...] = ({}, {})
     for row in texts.select("text", "toxic", order.alias("order")).toArrow().sort_by([("order", "ascending"), ("text", "ascending")]).to_pylist():
         classes[row["toxic"]][row["text"]] = None
-    rows = [(t, c) for c, known in enumerate(classes) for t in list(known)[:max_rows]]
+    rows = [(t, c) for c, known in enumerate(classes) for t in list(known)[: max_rows // (1 + c)]]
     return train([t for t, _ in rows], [c for _, c in rows])
 
 
