@@ -199,6 +199,12 @@ def test_simhash(docs, rows):
     assert kept.count() == len(set(root)) and kept.columns == docs.columns
 
 
+def test_simhash_keeps_unlike_rows_of_one_id(spark):
+    rows = [(None, "red green blue one two"), (None, "a wholly different text of its own"), (1, "some third text without any likeness"), (1, "and a fourth one about other things"), (1, "some third text without any likeness")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert bag(kept, "doc_id", "text") == collections.Counter(set(rows))
+
+
 def test_license(docs, spark):
     text = "Released Under the MIT License, see Apache License Version 2 and CC-BY-NC. under the mit license"
     notice = "Licensed under the Apachee License, Versoin 2.0"

@@ -108,22 +108,27 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, parts: in
     return pairs.select("left", "fps").mapInArrow(run, "a long, b long").where("a <> b")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id that links reach) and the columns in keep, a row a document."""
+def _grouped(docs: DataFrame, radius: int, tile: int, keep: tuple[str, ...]) -> DataFrame:
+    """As near_duplicates, and _tm_component: the component's own key, its smallest fingerprint."""
     marked = cut(fingerprints(docs, keep))
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     joined = components(near_links(distinct.select("fp"), radius, tile)).withColumnRenamed("node", "fp")
     grouped = distinct.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    return marked.join(grouped.join(least, "component").select("fp", "component_id"), "fp")
+    return marked.join(grouped.join(least, "component").select("fp", "component_id", F.col("component").alias("_tm_component")), "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id that links reach) and the columns in keep, a row a document."""
+    return _grouped(docs, radius, tile, keep).drop("_tm_component")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest id stays (of equal ids, one)."""
     columns = docs.columns
     numbered = cut(docs.withColumn("_tm_row", F.monotonically_increasing_id()))
-    marked = near_duplicates(numbered, radius, keep=("_tm_row",))
-    first = marked.groupBy("component_id").agg(F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(True)), "_tm_row")).alias("first"))
+    marked = _grouped(numbered, radius, TILE, keep=("_tm_row",))
+    first = marked.groupBy("_tm_component").agg(F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(True)), "_tm_row")).alias("first"))
     return numbered.join(first.select(F.col("first._tm_row").alias("_tm_row")), "_tm_row", "left_semi").select(*columns)
 
 
