@@ -76,6 +76,33 @@ def test_line_dedup(docs, rows):
     assert {r.text for r in out.where("doc_id = 44").collect()} == {"same row"}
 
 
+def test_line_dedup_crowded_bands(spark, monkeypatch):
+    """Small clusters in families of lines that share bands but are not similar enough; no link of a band may be lost."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    lines = []
+    head = word(240)
+    for _ in range(100):
+        tail = word(33)
+        lines += [head + tail, head + tail[:12] + word(21)]
+    sets = [{s[i : i + 6] for i in range(len(s) - 5)} for s in lines]
+    points = np.array([ord(c) for c in "".join(lines)], np.uint32)
+    at = np.cumsum([0] + [len(s) for s in lines])
+    keys = line_dedup.band_keys(line_dedup.signatures(points, at[:-1], at[1:]))
+    threshold = 0.83
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if (keys[i] == keys[j]).any() and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])]
+    root = roots(len(lines), links)
+    want = {i for i in range(len(lines)) if root[i] != i}
+    assert len(want) > 90 and len(set(root)) > 90
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", 40, raising=False)
+    assert {r.doc_id for r in line_dedup.removed_lines(docs, threshold).collect()} == want
+
+
 def test_line_band_recall():
     import random
 

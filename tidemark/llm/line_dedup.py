@@ -3,14 +3,14 @@
 Every distinct line gets a one-permutation MinHash signature (its shingles'
 hashes fall into SLOTS slots, the least of each counts, empty slots borrow
 from others), cut into BANDS bands. Lines that share a band are candidates:
-each with the band's smallest line; then, where lines of a band still lie in
-several components, one line of each component (another one in every band and
-round) with one of the band's largest component, and once more with one of any.
-So a large group costs a few comparisons a line and band, never all pairs.
-Candidates are verified by the Jaccard similarity of their whole shingle sets,
-and linked lines are joined by distributed union-find. Of each component, and
-of exact repeats, the first line in the order of (document id, line number)
-stays.
+first each with the band's smallest line; then, in crowded bands, one line of
+each component with one line of another component; at last all lines of a band
+that still lie in different components, in small bands pair by pair, in crowded
+ones block by block. So no candidate link is lost, and copies that are linked
+already are not compared again. Candidates are verified by the Jaccard
+similarity of their whole shingle sets, and linked lines are joined by
+distributed union-find. Of each component, and of exact repeats, the first line
+in the order of (document id, line number) stays.
 
 Signatures travel packed, in buckets of bounded size; lines of one batch that
 share a band are paired there, and only the smallest is sent on.
@@ -43,6 +43,8 @@ SLOTS = BANDS * ROWS
 THRESHOLD = 0.8
 #: Documents whose signatures share a bucket, about; buckets at least; bytes of text that are worked on at once.
 BUCKET_ROWS, BUCKETS, BLOCK = 4096, 48, 2 << 20
+#: Bands of more lines are crowded; their lines are compared in blocks of about so many.
+CROWD, BLOCK_LINES = 8, 256
 #: White space other than the line end.
 EDGE = " \t\r\x0b\x0c"
 
@@ -191,6 +193,50 @@ def similar(a: list[str], b: list[str], threshold: float) -> np.ndarray:
     return shared >= threshold * (size[: len(a)] + size[len(a) :] - shared)
 
 
+def _linked(threshold: float):
+    """Links between the components of a group's lines (of its two sides, if it has two): a spanning forest of all links, never all pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, component, side = (table.column(c).to_numpy() for c in ("id", "component", "side"))
+        data, at = text_bytes(table.column("line"))
+        offset = np.append(0, np.cumsum((data & 0xC0) != 0x80))[at]
+        values, line = shingles(np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), offset[:-1], offset[1:])
+        low, n = np.uint64(44), len(ids)
+        keys = np.unique(line.astype(np.uint64) << low | values >> np.uint64(20))
+        line = (keys >> low).astype(np.int64)
+        size = np.bincount(line, minlength=n)
+        _, place, times = np.unique(keys & np.uint64((1 << 44) - 1), return_inverse=True, return_counts=True)
+        place, line = (np.cumsum(times > 1) - 1)[place][times[place] > 1], line[times[place] > 1]
+        order = np.argsort(place, kind="stable")
+        place, line = place[order], line[order]
+        x, y = (np.flatnonzero(side == v) for v in (False, True))
+        x, y = (x, y) if len(x) and len(y) else (np.arange(n), np.arange(n))
+        shared = np.zeros((len(x), len(y)))
+        width = max(64, (1 << 21) // n)  # shingles at once
+        for begin in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+            i, j = np.searchsorted(place, (begin, begin + width))
+            holds = np.zeros((n, width), np.float32)
+            holds[line[i:j], place[i:j] - begin] = 1
+            shared += holds[x] @ holds[y].T
+        near = (shared >= threshold * (size[x][:, None] + size[y][None, :] - shared)) & (component[x][:, None] != component[y][None, :])
+        u, v = np.nonzero(near)
+        names, no = np.unique(component, return_inverse=True)
+        _, first = np.unique(no[x[u]].astype(np.int64) * len(names) + no[y[v]], return_index=True)
+        root, links = list(range(len(names))), []
+        for a, b in zip(x[u[first]].tolist(), y[v[first]].tolist()):
+            c, d = no[a], no[b]
+            while root[c] != c:
+                c = root[c] = root[root[c]]
+            while root[d] != d:
+                d = root[d] = root[root[d]]
+            if c != d:
+                root[max(c, d)] = min(c, d)
+                links.append((ids[a], ids[b]))
+        return pa.table([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _similar(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,6 +278,34 @@ def _across(members: DataFrame, joined: DataFrame, round_: int) -> DataFrame:
     return ones.join(centre, "band").where("one.id <> centre").select(F.least("one.id", "centre").alias("a"), F.greatest("one.id", "centre").alias("b")).distinct()
 
 
+def _small_pairs(placed: DataFrame) -> DataFrame:
+    """All pairs (a, b) of lines of a band that lie in different components."""
+    per_band = placed.groupBy("band").agg(F.collect_list(F.struct("id", "component")).alias("all"))
+    others = lambda x: F.filter("all", lambda y: (y["id"] > x["id"]) & (y["component"] != x["component"]))
+    pairs = F.flatten(F.transform("all", lambda x: F.transform(others(x), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
+    return per_band.select(F.explode(pairs).alias("pair")).select("pair.*").distinct()
+
+
+def _blocks(placed: DataFrame, size: int) -> DataFrame:
+    """(band, kind, i, j, side, id, component): groups of bounded size in which any two lines of a band and of different components meet.
+
+    Lines of the band's largest component need only meet the others (kind 0), those also each other (kind 1).
+    """
+    parts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"))
+    split = parts.groupBy("band").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    pieces = lambda n: F.ceil(n / size).cast("int")
+    split = split.select("band", F.col("top.component").alias("centre"), pieces(F.col("top.c")).alias("n_top"), pieces(F.col("n") - F.col("top.c")).alias("n_rest"))
+    rest = F.col("component") != F.col("centre")
+    cut_up = placed.join(split, "band").withColumn("block", F.pmod(F.xxhash64("id", "band"), F.when(rest, F.col("n_rest")).otherwise(F.col("n_top"))).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    block = F.col("block")
+    with_top = F.transform(every("n_top"), lambda j: place(0, block, j, F.lit(True)))
+    with_rest = F.transform(every("n_rest"), lambda j: place(1, F.least(block, j), F.greatest(block, j), block > j))
+    of_top = F.transform(every("n_rest"), lambda i: place(0, i, block, F.lit(False)))
+    return cut_up.select("band", "id", "component", F.explode(F.when(rest, F.concat(with_top, with_rest)).otherwise(of_top)).alias("at")).select("band", "at.*", "id", "component")
+
+
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_hash, removed: numbers of the lines to drop, in no order), a row an id and text that lose lines."""
     pairs = cut(band_pairs(docs).distinct())
@@ -243,13 +317,22 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     fetched = keyed.join(per_text.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select(F.split("text", "\n").alias("split"), "lines")
     lines = cut(fetched.select("split", F.explode_outer("lines").alias("x")).select("x.id", F.btrim(F.get("split", F.col("x.line_no")), F.lit(EDGE)).alias("line")).dropDuplicates(["id"]))
     checked = cut(verified(pairs.select("a", "b").distinct(), lines, threshold))
-    members = pairs.select("band", F.col("a").alias("id")).union(pairs.select("band", "b")).distinct()
+    both = pairs.select("band", F.col("a").alias("id")).union(pairs.select("band", "b")).distinct()
+    members = cut(both.join(both.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 2"), "band"))  # two lines have been compared
+    crowded = members.where(F.col("n") > CROWD)
     links = checked.where("near").select("a", "b")
     joined = components(links).withColumnRenamed("node", "id")
-    for round_ in range(2):
-        more = cut(verified(_across(members, joined, round_).join(checked, ["a", "b"], "left_anti"), lines, threshold))
+    for round_ in range(2):  # spares most comparisons of large groups
+        more = cut(verified(_across(crowded, joined, round_).join(checked, ["a", "b"], "left_anti"), lines, threshold))
+        if more.isEmpty():
+            break
         checked, links = checked.union(more), links.union(more.where("near").select("a", "b"))
         joined = components(links).withColumnRenamed("node", "id")
+    placed = cut(members.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    small = verified(_small_pairs(placed.where(F.col("n") <= CROWD)).join(checked, ["a", "b"], "left_anti"), lines, threshold).where("near").select("a", "b")
+    groups = _blocks(placed.where(F.col("n") > CROWD), BLOCK_LINES).join(lines, "id")
+    links = links.union(small).union(groups.groupBy("band", "kind", "i", "j").applyInArrow(_linked(threshold), "a long, b long"))
+    joined = components(links).withColumnRenamed("node", "id")
     every = occurrences(docs).join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     kept = every.groupBy("component").agg(first(), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", "at")
     gone = every.join(kept, "component").where(F.struct("doc_id", "text_hash", "line_no") != F.col("at"))
