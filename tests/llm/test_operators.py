@@ -299,6 +299,14 @@ def test_secrets(spark):
     assert {x.kind for x in out[7].spans} == {"login", "bearer"} and out[7].base == []
 
 
+def test_secret_copied_within_one_owner(spark):
+    copied, own = "ghp_" + "abcdefghij0123456789" * 2, "ghp_" + "0123456789klmnopqrst" * 2
+    rows = [(i, f"page {i} shows {copied}", "a") for i in range(30)] + [(100 + i, f"only here {own}", "a") for i in range(30)]
+    out = {r.doc_id: r for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all((out[i].n_live, out[i].n_example, out[i].spans) == (0, 1, []) for i in range(30))
+    assert all((out[i].n_live, out[i].n_example, len(out[i].spans)) == (1, 0, 1) for i in range(100, 130))  # exact copies are one text
+
+
 def test_secret_spans_by_brute_force(docs, sf_dir, spark):
     assign = re.compile(secrets.BASE["assign"][0].replace("(?i)", ""), re.I | re.A)
     for r in secrets.secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id").collect():

@@ -2,8 +2,10 @@
 
 Candidates are found with regular expressions and carry their spans in code
 points. Each candidate's hash is counted over the whole corpus by distinct
-repositories and owners. One that many owners share is a copied example; one
-that belongs to one owner and looks random is held to be live.
+repositories and owners. One that many owners or many repositories share is a
+copied example; one that belongs to one owner and few repositories and looks
+random is held to be live. Exact copies of a text within an owner count as one
+repository.
 
 Spans of the base kinds (assign, access, hex) always stay; the method adds
 those of further kinds unless the corpus shows them to be shared examples.
@@ -39,6 +41,8 @@ EXTRA = {
 SPAN = "array<struct<start:long,end:long,kind_no:int,kind:string,value:string>>"
 #: A credential of so many owners or more is a shared example.
 SHARED_OWNERS = 3
+#: So is one of so many repositories or more, even of one owner.
+SHARED_REPOSITORIES = 10
 
 
 def matches(text: Column, kind: str, no: int, pattern: str, group: int, least: int) -> Column:
@@ -61,31 +65,32 @@ def matches(text: Column, kind: str, no: int, pattern: str, group: int, least: i
 
 
 def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
-    """A row a document: row_no, doc_id, repository, owner, base and extra spans by start; written once, as the corpus counts need it again."""
+    """A row a document: row_no, doc_id, repository, owner, text_hash, base and extra spans by start; written once, as the corpus counts need it again."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(*[matches(text, k, i, *v) for i, (k, v) in enumerate(BASE.items())]))
     more = F.array_sort(F.concat(*[matches(text, k, i + len(BASE), *v) for i, (k, v) in enumerate(EXTRA.items())]))
     hint = text.rlike(r"(?i)eyJ|bearer\x20|gh[pousr]_|://|PRIVATE\x20KEY")
-    return cut(docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), base.alias("base"), F.when(hint, more).otherwise(F.array().cast(SPAN)).alias("extra")))
+    return cut(docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), F.xxhash64(text).alias("text_hash"), base.alias("base"), F.when(hint, more).otherwise(F.array().cast(SPAN)).alias("extra")))
 
 
 def ownership(found: DataFrame) -> DataFrame:
     """A row a credential hash: n_repositories, n_owners, over the whole corpus. Counts are taken level by level, so a widely copied credential is spread over its repositories first."""
-    once = found.select("hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository")).distinct()
+    texts = found.groupBy("hash", F.coalesce("owner", F.lit("")).alias("owner"), "text_hash").agg(F.min(F.coalesce("repository", F.lit(""))).alias("repository"))
+    once = texts.select("hash", "owner", "repository").distinct()
     return once.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def verdict(value: Column, n_owners: Column, shared: int = SHARED_OWNERS) -> Column:
-    """example: many owners have it; live: one owner, and of many different characters; unsure: the rest."""
+def verdict(value: Column, n_owners: Column, n_repositories: Column, shared: int = SHARED_OWNERS, copied: int = SHARED_REPOSITORIES) -> Column:
+    """example: many owners or repositories have it; live: one owner, and of many different characters; unsure: the rest."""
     varied = F.size(F.array_distinct(F.split(value, ""))) >= 8
-    return F.when(n_owners >= shared, "example").when((n_owners == 1) & varied, "live").otherwise("unsure")
+    return F.when((n_owners >= shared) | (n_repositories >= copied), "example").when((n_owners == 1) & varied, "live").otherwise("unsure")
 
 
 def secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
     """A row a document: doc_id, base spans, all spans (with verdicts), n_live, n_example."""
     scanned = scan(docs, repository, owner)
-    found = scanned.select("row_no", "repository", "owner", F.explode(F.concat("base", "extra")).alias("span")).withColumn("hash", F.sha2(F.col("span.value").cast("binary"), 256))
-    judged = found.join(ownership(found), "hash").select("row_no", F.struct("span.start", "span.end", "span.kind_no", "span.kind", verdict(F.col("span.value"), F.col("n_owners")).alias("verdict"), "hash", "n_owners", "n_repositories").alias("span"))
+    found = scanned.select("row_no", "repository", "owner", "text_hash", F.explode(F.concat("base", "extra")).alias("span")).withColumn("hash", F.sha2(F.col("span.value").cast("binary"), 256))
+    judged = found.join(ownership(found), "hash").select("row_no", F.struct("span.start", "span.end", "span.kind_no", "span.kind", verdict(F.col("span.value"), F.col("n_owners"), F.col("n_repositories")).alias("verdict"), "hash", "n_owners", "n_repositories").alias("span"))
     by_row = judged.groupBy("row_no").agg(F.array_sort(F.collect_list("span")).alias("all"))
     none = by_row.schema["all"].dataType
     return scanned.join(by_row, "row_no", "left").select(
