@@ -1,5 +1,7 @@
 """The network: gradients, held-out accuracy on the driver's labels, odd cases."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -44,8 +46,20 @@ def test_windows_cover_whole_texts():
         assert got == set(words.which[words.doc[t] : words.doc[t + 1]].tolist())
 
 
+def test_sample_is_filled(spark, monkeypatch):
+    """From labels without documents and from texts over the length nothing is lost but their rest."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(100))) for i in range(400)] + [(500, "short"), (None, "x"), (401, ""), (402, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(403)] + [(1000 + i, 1) for i in range(500)] + [(None, 1), (3, None), (500, 1)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(T, "train", lambda texts, labels: seen.append((texts, labels)))
+    T.fit(docs, labels, max_rows=60, max_chars=200)
+    texts, classes = seen[0]
+    assert (classes.count(0), classes.count(1)) == (60, 30) and "short" in texts and {len(t) for t in texts} == {5, 200}
+
+
 def test_held_out_accuracy(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    at = os.environ.get("TEST_LABELS_DIR", "/root/testdata/sf0.1")
+    docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
     net = T.fit(docs, labels)
     test = labels.where(T.held_out(F.col("doc_id"))).select("doc_id", "toxic")
     rows = T.score(docs.join(test, "doc_id"), net, keep=("doc_id", "toxic")).collect()

@@ -6,7 +6,8 @@ words, each half over the next, are scored one by one; a document's score is
 that of its worst window, so whole texts count whatever their length.
 
 The network is trained on a bounded sample of labelled rows (MAX_ROWS clean
-ones and half as many toxic ones, by a hash of the id; of at most MAX_CHARS characters each). A label says
+ones and half as many toxic ones, by a hash of the id; of texts over MAX_CHARS
+characters, which are drawn last, a piece of that length). A label says
 only that some window of a toxic document is toxic: training starts from the
 window with the most telling words and then goes over to the window that the
 network itself finds worst, together with the worst windows of clean documents.
@@ -37,8 +38,8 @@ MAX_ROWS, MAX_CHARS = 1500, 3000
 MARGIN = 0.8
 #: Training rounds; each chooses its windows anew.
 ROUNDS, BATCH, RATE = 6, 256, 0.01
-#: Rows of windows that are scored at once.
-BLOCK = 2048
+#: Windows that are scored at once; bytes of text that are worked on at once.
+BLOCK, BYTES = 2048, 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -284,38 +285,39 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Network:
     """A network trained on at most max_rows clean and half as many toxic labelled texts that are not held out.
 
-    Twice as many labels of each class are drawn, in the order of a hash of their ids; as a bounded
-    table they are broadcast to the documents, so no text is shuffled.
+    Labels are drawn in the order of a hash of their ids, from those whose documents are there and
+    hold text; texts beyond max_chars come last, and then a piece of max_chars of each. As a bounded
+    table the draw is broadcast to the documents, so no text is shuffled.
     """
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    there = docs.select("doc_id", F.length("text").alias("n")).where("n > 0").groupBy("doc_id").agg(F.min("n").alias("n")).join(usable, "doc_id")
     order = F.xxhash64("doc_id")
-    drawn = usable.where("toxic = 1").orderBy(order).limit(2 * max_rows).unionByName(usable.where("toxic = 0").orderBy(order).limit(2 * max_rows))
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars)).join(F.broadcast(drawn), "doc_id")
-    classes: tuple[dict[str, None], ...] = ({}, {})
-    for row in texts.select("text", "toxic", order.alias("order")).toArrow().sort_by([("order", "ascending"), ("text", "ascending")]).to_pylist():
-        classes[row["toxic"]][row["text"]] = None
-    rows = [(t, c) for c, known in enumerate(classes) for t in list(known)[: max_rows // (1 + c)]]
-    return train([t for t, _ in rows], [c for _, c in rows])
+    draw = lambda c: there.where(F.col("toxic") == c).orderBy(F.col("n") > max_chars, order, "doc_id").limit(max_rows // (1 + c))
+    drawn = draw(0).unionByName(draw(1))
+    start = F.when(F.length("text") > max_chars, 1 + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.length("text") - max_chars + 1)).otherwise(1).cast("int")
+    texts = docs.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(drawn), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min(F.substring(F.col("text"), start, F.lit(max_chars))).alias("text"))
+    rows = sorted({(r["toxic"], r["text"]) for r in texts.select("toxic", "text").toArrow().to_pylist()})
+    return train([t for _, t in rows], [c for c, _ in rows])
 
 
 def score(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """The columns in keep and the score, under a name that is not among them, a row a document."""
+    """The columns in keep and the score, under a name that is not among them, a row a document. Only the texts go to Python, and only scores come back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.zeros(batch.num_rows)
-            data, at = text_bytes(batch.column("text"))
+    @F.arrow_udf("double")
+    def worst(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            out = np.zeros(len(batch))
+            data, at = text_bytes(batch)
             i = 0
-            while i < batch.num_rows:  # texts of about 4 MB at once, or one long one
-                j = max(i + 1, int(np.searchsorted(at, at[i] + (4 << 20), "right")) - 1)
-                j = min(j, batch.num_rows)
+            while i < len(batch):  # texts of about BYTES together, or one long one
+                j = min(len(batch), max(i + 1, int(np.searchsorted(at, at[i] + BYTES, "right")) - 1))
                 logit, _, text = net.score(Words(data[at[i] : at[j]], at[i : j + 1] - at[i]))
                 np.maximum.at(out, i + text, _sigmoid(logit.astype(np.float64)))
                 i = j
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out)], names=[*keep, name])
+            yield pa.array(out)
 
-    picked = docs.select(*dict.fromkeys((*keep, "text")))
-    return picked.mapInArrow(run, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` double")
+    return docs.select(*keep, worst.asNondeterministic()(F.col("text")).alias(name))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
