@@ -243,20 +243,84 @@ def test_license(docs, spark):
     assert license_scan.licenses(docs).count() == docs.count()
 
 
+def edited(rng, notice):
+    """The notice with as many edits as it may have, none of them in a key word."""
+    free = [i for i in range(len(notice))]
+    at = 0
+    for key in license_scan.KEYS.get(notice, ()):
+        at = f" {notice} ".index(f" {key} ", at)
+        free = [i for i in free if not at - 1 <= i <= at + len(key)]
+    text = list(notice)
+    for _ in range(max(1, len(notice) // license_scan.ERROR_EVERY)):
+        i = rng.choice(free)
+        text[i] = rng.choice(["", "q", "q" + notice[i]])
+    return "".join(text)
+
+
+def least_edits(notice, words):
+    """Edits between the notice and the stretch of the text that is nearest to it."""
+    row = list(range(len(notice) + 1))  # of the notice's beginnings against a stretch that ends here
+    best = row[-1]
+    for c in words:
+        new = [0]
+        for j, x in enumerate(notice, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != c)))
+        row, best = new, min(best, new[-1])
+    return best
+
+
 @pytest.mark.parametrize("notice", list(license_scan.NOTICES))
 def test_license_edits(notice):
     import random
 
     rng = random.Random(notice)
     for _ in range(20):
-        text = list(notice)
-        for _ in range(max(1, len(notice) // license_scan.ERROR_EVERY)):
-            i = rng.randrange(len(text))
-            text[i : i + 1] = rng.choice([[], ["q"], ["q", text[i]]])
-        words = license_scan.normal("before " + "".join(text) + " after")
+        words = license_scan.normal("before " + edited(rng, notice) + " after")
+        if least_edits(notice, words) > max(1, len(notice) // license_scan.ERROR_EVERY):
+            continue  # a lost one-letter word takes a space with it
         assert license_scan.NOTICES[notice] in {x[0] for x in license_scan.fuzzy_notices(words)}
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("licensed under CC BY-SA 4.0", ""), ("licensed under CC BY-ND 4.0", ""), ("this work is licensed under the GNU General Public License version 2", ""), ("licensed under the Apache license version 1.0", ""),
+    ("Licensed under the MPL license", ""), ("Licensed under the MIT licence", "mit"), ("licensed undr the Apche license version 2.0", "apache-2"), ("gnu library general public license as published by the free software foundation", ""),
+])
+def test_license_names(text, labels):
+    assert license_scan.scan_text(text)[5] == labels
+
+
+def test_license_neighbours():
+    """Of two notices side by side the better one does not hide the other."""
+    for text in ("licensed undr te mit license licensed under the mit license", "licensed under the mit licence licensed under the mit license", "licensed under the mit license licensed under the mit licence"):
+        assert [x[1:3] for x in license_scan.fuzzy_notices(text)] == [(0, 4), (5, 9)]
+    many = license_scan.scan_text("under the mit license " * 20000)
+    assert many[:4] == (80000, 20000, 0, 79996)
+
+
+def test_license_by_brute_force():
+    """Notices without key words: found where and only where some stretch of the text is within the edits; base places word by word."""
+    import random
+
+    rng, plain = random.Random(3), [n for n in license_scan.NOTICES if n not in license_scan.KEYS]
+    hits = misses = 0
+    for _ in range(60):
+        notice = rng.choice(plain)
+        text = list(notice)
+        for _ in range(rng.randint(0, 2 * (len(notice) // license_scan.ERROR_EVERY))):
+            text[rng.randrange(len(text))] = rng.choice(["", "q", "zz"])
+        words = license_scan.normal("ba keke lo " + "".join(text) + " " + rng.choice(list(license_scan.PHRASES)) + " under the miti nura")
+        for other in plain:
+            best = least_edits(other, words)
+            near = best <= len(other) // license_scan.ERROR_EVERY
+            got = [x for x in license_scan.fuzzy_notices(words) if x[0] == license_scan.NOTICES[other]]
+            assert bool(got) == near and (not got or min(x[3] for x in got) == best)
+            hits, misses = hits + near, misses + (not near)
+        w = words.split()
+        want = sorted((label, i) for phrase, label in license_scan.PHRASES.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split())
+        assert sorted(license_scan.exact_phrases(words)) == want
+    assert hits > 15 and misses > 15
+
+
 def test_mix(docs, rows, duck):
     out = mixing.mix(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "source"))).collect()
     size = collections.Counter()
@@ -294,7 +358,7 @@ def test_secrets(spark):
     said = lambda spans: [(x.kind, x.start, x.end) for x in spans]
     assert said(out[1].base) == [("access", 2, 22), ("assign", 25, 50)]
     assert said(out[2].base) == [("assign", 0, 43), ("hex", 9, 43)]
-    assert out[3].n_example == 1 and said(out[3].spans) == [("hex", 4, 38)] and out[1].n_live == 2
+    assert out[3].n_example == 1 and said(out[3].spans) == [("hex", 4, 38)] and (out[1].n_live, out[1].n_example) == (1, 0)
     assert said(out[4].base) == [("hex", 0, 34)] and out[5].spans == [] == out[6].spans
     assert {x.kind for x in out[7].spans} == {"login", "bearer"} and out[7].base == []
 

@@ -3,8 +3,12 @@
 A notice of n characters may differ in k = n // ERROR_EVERY edits. Cut into
 k + 1 pieces, at least one piece of any such occurrence is unchanged
 (pigeonhole), so an Aho-Corasick pass over the normalised text for all pieces
-of all notices finds every candidate place; the regex library's fuzzy matching
-verifies the edits there and gives the span.
+of all notices finds every candidate place. Each candidate is verified on its
+own by the regex library's fuzzy matching, best match within the stretch that
+the piece allows; of overlapping places of a notice the one with fewest edits
+stays, of equal ones the first. The words that tell one license from another
+(KEYS) are no room for errors: short ones and numbers must stand there as they
+are, longer ones with one edit at most.
 
 Defined results: a null text counts as empty; a text without words has no
 places, null first and last words, empty labels and score 0; ids are carried
@@ -13,6 +17,7 @@ as they are, null and repeated ones included; extra columns are not looked at.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -42,6 +47,18 @@ NOTICES = {
     "licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa",
     "to the extent possible under law the author has waived all copyright": "cc0",
 }
+# The words of a notice that other licenses do not share, in their order.
+KEYS = {
+    "licensed under the mit license": ("mit",),
+    "licensed under the apache license version 2 0": ("apache", "2"),
+    "licensed under cc by nc 4 0": ("cc", "by", "nc", "4"),
+    "this work is licensed under the gnu general public license version 3": ("gnu", "general", "3"),
+    "gnu lesser general public license as published by the free software foundation": ("gnu", "lesser", "general"),
+    "subject to the terms of the mozilla public license v 2 0": ("mozilla", "2"),
+    "licensed under a creative commons attribution sharealike 4 0 international license": ("creative", "commons", "attribution", "sharealike", "4"),
+}
+#: Key words up to this length have to match exactly.
+SHORT = 4
 #: One edit is allowed for so many characters of a notice.
 ERROR_EVERY = 12
 _SPACED = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -54,52 +71,71 @@ def normal(text: str | None) -> str:
 
 @cache
 def _search(every: int = ERROR_EVERY):
-    """The automaton over all pieces, and each notice's length, edits and pattern."""
+    """The automaton over all pieces, and each notice's length, edits, label, pattern and the patterns of its keys."""
     automaton, notices, pieces = ahocorasick.Automaton(), [], {}
     for words, label in NOTICES.items():
         k = max(1, len(words) // every)
         cuts = [len(words) * i // (k + 1) for i in range(k + 2)]
         for a, b in zip(cuts, cuts[1:]):
             pieces.setdefault(words[a:b], []).append((len(notices), a, b - a))
-        notices.append((len(words), k, label, regex.compile(f"(?b)(?:{regex.escape(words, literal_spaces=True)}){{e<={k}}}")))
+        keys = [regex.compile(rf"\b{w}\b" if len(w) <= SHORT else rf"(?b)\b(?:{w}){{e<=1}}\b") for w in KEYS.get(words, ())]
+        notices.append((len(words), k, label, regex.compile(f"(?b)(?:{regex.escape(words, literal_spaces=True)}){{e<={k}}}"), keys))
     for piece, places in pieces.items():
         automaton.add_word(piece, places)
     automaton.make_automaton()
     return automaton, notices
 
 
-def fuzzy_notices(words: str) -> list[tuple[str, int, int, int]]:
-    """(label, first word, last word, edits) of the notices in normalised text, in order; of overlapping places of a notice the best."""
+def _holds(words: str, start: int, end: int, keys: list) -> bool:
+    """Whether the words from start to end hold the keys in order."""
+    for key in keys:
+        m = key.search(words, start, end)
+        if not m:
+            return False
+        start = m.end()
+    return True
+
+
+def fuzzy_notices(words: str, gaps: list[int] | None = None) -> list[tuple[str, int, int, int, int]]:
+    """(label, first word, last word, edits, characters) of the notices in normalised text, in order; of overlapping places of a notice the best. gaps: where the spaces are."""
     automaton, notices = _search()
-    windows: dict[int, list[list[int]]] = {}
+    windows: dict[int, set[int]] = {}
     for end, places in automaton.iter(words):
         for no, offset, size in places:
-            length, k, _, _ = notices[no]
-            start = end + 1 - size - offset - k
-            known = windows.setdefault(no, [])
-            if known and start <= known[-1][1]:
-                known[-1][0], known[-1][1] = min(known[-1][0], start), max(known[-1][1], start + length + 2 * k)
-            else:
-                known.append([start, start + length + 2 * k])
-    found = []
-    for no, spans in windows.items():
-        _, _, label, pattern = notices[no]
-        for a, b in spans:
-            for m in pattern.finditer(words, max(0, a), min(len(words), b)):
+            windows.setdefault(no, set()).add(end + 1 - size - offset)
+    if not windows:
+        return []
+    gaps = [m.start() for m in regex.finditer(" ", words)] if gaps is None else gaps
+    found = set()
+    for no, starts in windows.items():
+        length, k, label, pattern, keys = notices[no]
+        places = set()
+        for at in starts:
+            m = pattern.search(words, max(0, at - k), min(len(words), at + length + k))
+            if m:
                 s, e = m.span()
                 s, e = s + len(m[0]) - len(m[0].lstrip()), e - (len(m[0]) - len(m[0].rstrip()))
-                if s < e:
-                    found.append((label, words.count(" ", 0, s), words.count(" ", 0, e), sum(m.fuzzy_counts), e - s))
-    return sorted(set(found), key=lambda x: (x[1], x[2], x[0]))
-
-
-def exact_phrases(words: str) -> list[tuple[str, int]]:
+                first, last = bisect_left(gaps, s + 1), bisect_left(gaps, e)
+                whole = (gaps[first - 1] + 1 if first else 0), (gaps[last] if last < len(gaps) else len(words))
+                if s < e and _holds(words, *whole, keys):
+                    places.add((sum(m.fuzzy_counts), s, e, first, last))
+        taken: list[tuple[int, int]] = []  # apart from each other, in order
+        for edits, s, e, first, last in sorted(places):
+            i = bisect_left(taken, (s, e))
+            if (i == len(taken) or e <= taken[i][0]) and (i == 0 or taken[i - 1][1] <= s):
+                taken.insert(i, (s, e))
+                found.add((label, first, last, edits, e - s))
+    return sorted(found, key=lambda x: (x[1], x[2], x[0]))
+
+
+def exact_phrases(words: str, gaps: list[int] | None = None) -> list[tuple[str, int]]:
     """(label, word number) of every place where a phrase's words stand; places may overlap."""
     places, spaced = [], f" {words} "
     for phrase, label in PHRASES.items():
         at = spaced.find(f" {phrase} ")
         while at >= 0:
-            places.append((label, spaced.count(" ", 0, at)))
+            gaps = [m.start() for m in regex.finditer(" ", words)] if gaps is None else gaps
+            places.append((label, bisect_left(gaps, at)))
             at = spaced.find(f" {phrase} ", at + 1)
     return places
 
