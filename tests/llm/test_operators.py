@@ -210,6 +210,46 @@ def test_decontaminate(spark, docs, rows):
     assert decontaminate.contaminated(every, benchmark.limit(0)).count() == 0
 
 
+def test_decontaminate_names_and_slots(spark):
+    items = [(1, "Tom has 5 apples. Anna gives him 3 apples. How many apples does Tom have now?"), (2, "define photosynthesis briefly now"), (3, "yes"), (4, "The tank holds 40 liters and the pump fills it with 40 liters in 8 minutes while the valve below lets out 2 liters of it at once every single time that somebody opens the gate by hand")]
+    texts = {
+        1: "Ben has 7 apples. Maria gives him 4 apples. How many apples does Ben have now?", 2: "Ben has 7 apples. Maria gives him 4 apples. How many apples does Carl have now?",
+        3: "Today we define photosynthesis briefly now and go on", 4: "they say yes to it", 5: "yes", 6: "tom has 5 apples. anna gives him 3 apples. how many apples does tom have now?",
+        7: items[3][1].replace("with 40", "with 41"), 8: "Ben has 7 apples. Ben gives him 7 apples. How many apples does Ben have now?", 9: "", 10: None, 11: "a word " * 20000,
+    }
+    got = {r.doc_id: list(r["items"]) for r in decontaminate.contaminated(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got[1] == [1] and got[3] == [2] and got[5] == [3] and got[7] == [4] and got.keys().isdisjoint({2, 4, 8, 9, 10, 11})
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert decontaminate.contaminated(none, spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_decontaminate_by_brute_force(spark):
+    """Words without numbers or names: an item is held if enough of its windows stand in the text."""
+    import random
+
+    rng = random.Random(6)
+    words = lambda n: [rng.choice("ab cd ef gh ij kl mn op qr st uv wx".split()) + rng.choice("aeiou") for _ in range(n)]
+    items = [words(rng.randint(4, 40)) for _ in range(12)]
+    texts = []
+    for _ in range(80):
+        item = rng.choice(items)
+        a = rng.randrange(len(item))
+        cut = item[a : a + rng.randint(1, len(item))] if rng.random() < 0.6 else [x if rng.random() < 0.95 else "zz" for x in item]
+        texts.append(words(rng.randint(0, 30)) + cut + words(rng.randint(0, 30)))
+    of = lambda w, n: [tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))]
+    want = set()
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            mine, own = of(t, min(len(item), 5)), of(item, 5)
+            held = {k for k, w in enumerate(own) if w in mine}
+            along = max((sum(own[k] == mine[k + o] for k in range(len(own)) if 0 <= k + o < len(mine)) for o in range(-len(own), len(mine))), default=0)
+            if len(held) >= 0.8 * len(own) or along >= 20:
+                want.add((d, i))
+    frame = lambda rows, names: spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], names)
+    got = decontaminate.contaminated(frame(texts, "doc_id long, text string"), frame(items, "item_id long, text string"))
+    assert {(r.doc_id, i) for r in got.collect() for i in r["items"]} == want and 20 < len(want) < 80
+
+
 def test_simhash(docs, rows):
     fps = []
     for _, t, *_ in rows:
