@@ -21,9 +21,12 @@ def words_of(text: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; only where none is named, a temporary one."""
+    """Use the folder that the cluster names in spark.checkpoint.dir; only where none is named and all runs on this machine, a temporary one."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

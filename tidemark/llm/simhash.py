@@ -6,7 +6,8 @@ the parts' counts add up to at most the Hamming distance), so a pair of tiles
 whose counts differ by more than the radius is skipped without losing a link;
 the pairs that remain are compared exactly with numpy: exclusive-or and bit
 counts. A tile pair hands on a spanning forest of its links, never all pairs,
-and tiles have a bounded size, so copies and crowded counts split over tasks.
+tiles have a bounded size, and a crowded cell's tiles are met group by group, so
+copies and crowded counts split over tasks.
 
 Defined results: a text without words (or null) has fingerprint zero and
 links like any other; a null document id stays null and takes its
@@ -33,6 +34,8 @@ SEED = 42
 #: Fingerprints in a tile, about.
 TILE = 1024
 PARTS = 4
+#: Tiles of a cell that a task compares others with.
+TILES = 8
 
 
 def fingerprint(text: str | None) -> int:
@@ -88,15 +91,18 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, parts: in
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     counts = [F.bit_count(F.col("fp").bitwiseAND(F.lit(m))).cast("int") for m in signed]
     celled = fps.select("fp", F.array(*counts).alias("cell"))
-    crowd = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    # a row a cell, of which there are (width + 1) ** parts at most
+    crowd = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.ceil(F.col("n") / tile).cast("int").alias("pieces"), F.ceil(F.col("n") / (tile * TILES)).cast("int").alias("groups"))
     tiles = (
-        celled.join(crowd, "cell").withColumn("piece", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / tile)).cast("int"))
-        .groupBy("cell", "piece").agg(F.collect_list("fp").alias("fps"))
+        celled.join(F.broadcast(crowd), "cell").withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
+        .groupBy("cell", "piece").agg(F.collect_list("fp").alias("fps"), F.first("groups").alias("groups")).withColumn("group", F.col("piece") % F.col("groups"))
     )
     steps = [s for s in product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, s)) <= radius and s >= (0,) * parts]
     moves = F.explode(F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps]))
     left = tiles.select(F.col("cell").alias("from"), F.col("piece").alias("left_piece"), F.col("fps").alias("left"), moves.alias("move")).withColumn("cell", F.zip_with("from", "move", lambda x, y: x + y))
-    pairs = left.join(tiles, "cell").where((F.col("from") < F.col("cell")) | (F.col("left_piece") <= F.col("piece")))
+    # every group of the other cell's tiles is met apart, so a crowded cell spreads over tasks
+    left = left.join(F.broadcast(crowd.select("cell", "groups")), "cell").select("cell", "from", "left_piece", "left", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    pairs = left.join(tiles.drop("groups"), ["cell", "group"]).where((F.col("from") < F.col("cell")) | (F.col("left_piece") <= F.col("piece")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -44,7 +44,9 @@ PRIOR = 4.0
 WORD_PART = 0.5
 HEAD_SHARE = 1e-6
 #: Bytes of text whose counts share a bucket, about; buckets at least; bytes that are worked on at once.
-BUCKET_BYTES, BUCKETS, BLOCK = 16 << 20, 48, 2 << 20
+BUCKET_BYTES, BUCKETS, BLOCK = 16 << 20, 48, 1 << 20
+#: Words and grams that a task holds before it sends their counts on.
+HELD = 400_000
 
 END = 10
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -130,10 +132,20 @@ _COUNTS = "bucket int, kind int, keys binary, counts binary"
 
 
 def _counted(buckets: int):
-    """Counts of a partition's words (in training texts, in others) and grams (in training texts), packed by bucket."""
+    """Counts of words (in training texts, in others) and grams (in training texts) of blocks of a partition, packed by bucket."""
+
+    def packets(held: dict) -> pa.RecordBatch:
+        rows = []
+        for kind, (keys, counts) in held.items():
+            bucket = (_mixed(keys) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows += [(b, kind, keys[order[x:y]].tobytes(), counts[order[x:y]].tobytes()) for b, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows)) or [()] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "kind", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {k: (np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)) for k in (WORDS, GRAMS)}
+        none = {k: (np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)) for k in (WORDS, GRAMS)}
+        held = dict(none)
         for batch, stream in _blocks(batches):
             other = np.asarray(batch.column("held").cast(pa.uint8())).astype(np.int64)
             words = np.concatenate([stream.word, np.full(len(other), END_WORD)])
@@ -143,13 +155,10 @@ def _counted(buckets: int):
                 counts = np.zeros((len(keys), 2), np.int64)
                 counts[:, column] = n
                 held[kind] = _summed(*(np.concatenate(x) for x in zip(held[kind], (keys, counts))))
-        rows = []
-        for kind, (keys, counts) in held.items():
-            bucket = (_mixed(keys) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows += [(b, kind, keys[order[x:y]].tobytes(), counts[order[x:y]].tobytes()) for b, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows)) or [()] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "kind", "keys", "counts"])
+            if sum(len(k) for k, _ in held.values()) > HELD:
+                yield packets(held)
+                held = dict(none)
+        yield packets(held)
 
     return run
 
