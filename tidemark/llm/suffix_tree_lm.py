@@ -44,9 +44,9 @@ PRIOR = 4.0
 WORD_PART = 0.5
 HEAD_SHARE = 1e-6
 #: Bytes of text whose counts share a bucket, about; buckets at least; bytes that are worked on at once.
-BUCKET_BYTES, BUCKETS, BLOCK = 16 << 20, 48, 1 << 20
+BUCKET_BYTES, BUCKETS, BLOCK = 16 << 20, 48, 3 << 19
 #: Words and grams that a task holds before it sends their counts on.
-HELD = 400_000
+HELD = 1_200_000
 
 END = 10
 _LOWER = np.arange(256, dtype=np.uint8)
