@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import code_map
 from tidemark.operators import profile, reconcile, runs, timelines, totals
 from tidemark.plans.checks import CHECKS, PACKS, Check, Context, verify
 from tidemark.plans.mapping import Edge, Plan, expected_state
@@ -83,7 +84,15 @@ def test_mapping(spark):
     assert sorted(r.result for r in journal.collect()) == ["failed", "metadata", "produced", "produced", "produced", "produced"]
     with pytest.raises(Exception, match="cannot map born"):
         expected_state(plan, {"people": people(spark)})[0]["member"].collect()
+    for read in (lambda df: df.select("id", "label").collect(), lambda df: df.count()):
+        with pytest.raises(Exception, match="cannot map born"):
+            read(expected_state(plan, {"people": people(spark)})[0]["member"])
     assert plan.digest() == Plan(plan.edges[::-1], plan.keys).digest()
+    recode = lambda codes: Plan((Edge("a", "people", ("m",), "map", {"id": ("id", (lambda c: code_map(c, codes),))}),), {"people": ("id",), "m": ("id",)}).digest()
+    assert recode({"A": "a"}) == recode({"A": "a"}) != recode({"A": "other"})
+    for operation in ("derive", "merge", "aggregate"):
+        with pytest.raises(ValueError, match=operation):
+            Edge("x", "people", ("one",), operation)
     with pytest.raises(ValueError):
         Edge("x", "people", ("one",), "split")
     with pytest.raises(ValueError):
@@ -185,3 +194,17 @@ def test_stream(spark, tmp_path):
     q = verify_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), {"p": df}, "p", [Check("1", "no_unexpected", {"dataset": "p", "keys": ["id"]})], str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert {r.result for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"pass"}
+
+
+def test_checks_on_repeats_maps_and_redaction(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "id long, status string, at string, hash string, owner string")
+    e = frame([(1, "A", "2024-01-01T00:00:00Z", "ab", "x"), (2, "B", "2024-01-02T00:00:00Z", "cd", "x"), (2, "B", "2024-01-03T00:00:00Z", "cd", "x"), (3, "C", None, "ef", "y")])
+    a = frame([(1, "active", "2024-01-01T00:00:00Z", "AB", "x"), (1, "active", "2024-01-01T00:00:00Z", "zz", "x"), (2, "blocked", "2024-01-02T00:00:00Z", "cd", "x"), (2, "blocked", "2024-01-03T00:00:00+01:00", "cd", "x")])
+    found = lambda kind, redact=False, **options: {(r.stable_key, r.code, r.expected, r.actual) for r in verify(Context({"t": e}, {"t": a}, redact=redact), [Check("c", kind, {"dataset": "t", **options})]).collect()}
+    codes = lambda *x, **y: sorted(f[1] for f in found(*x, **y))
+    assert codes("digests", keys=["id"], hashed="hash") == ["content", "missing", "repeated", "repeated"]
+    assert codes("same_instant_text", keys=["id"], at="at") == ["text"]
+    assert codes("values", keys=["id"], fields=["status"], maps={"status": {"A": "active", "B": "blocked"}}) == ["clean"]
+    assert codes("event_positions", owner="owner", order=["at"], date="at", code="status") == ["code", "date", "date", "extra", "missing"]
+    raw, hidden = found("values", keys=["id"], fields=["status"]), found("values", True, keys=["id"], fields=["status"])
+    assert {x[3] for x in raw} == {"active", "blocked"} and all(x[2].startswith("sha256:") and x[3].startswith("sha256:") for x in hidden)

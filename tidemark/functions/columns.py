@@ -20,7 +20,7 @@ def strip(c: Column) -> Column:
 def normalize_upper(s: pd.Series) -> pd.Series:
     """NFKC, then upper case character by character (a character whose upper case is longer stays). Spark has no function for either."""
     one = lambda ch: u if len(u := ch.upper()) == 1 else ch
-    return s.map(lambda x: None if x is None else "".join(map(one, unicodedata.normalize("NFKC", x))))
+    return s.map(lambda x: None if x is None else x.upper() if x.isascii() else "".join(map(one, unicodedata.normalize("NFKC", x))))
 
 
 def parse_date(c: Column, pattern: str = "yyyy-MM-dd") -> Column:

@@ -84,7 +84,8 @@ def keyed(expected: DataFrame, actual: DataFrame, keys: list[str], fields: list[
     """Faults of each expected identity: missing, repeated, amount, fields. keys and code.
 
     Groups are aggregated first and met in a full outer join; identities of the target alone are left
-    to `unexpected`. The first row of a group (by its fields) stands for it. With always_fields the
+    to `unexpected`. Any second row of the target is a repeat, whatever was expected. The least row of
+    a group (by amount and fields) stands for it. With always_fields the
     fields are compared even where the amount differs.
     """
     used = [*([amount] if amount else []), *fields]
@@ -96,7 +97,7 @@ def keyed(expected: DataFrame, actual: DataFrame, keys: list[str], fields: list[
         differ = differ | (F.coalesce(F.col(f"e.{f}").cast("string"), F.lit("")) != F.coalesce(F.col(f"a.{f}").cast("string"), F.lit("")))
     there = F.col("n_a").isNotNull()
     codes = F.array_compact(F.array(
-        F.when(~there, F.lit("missing")), F.when(F.col("n_a") > F.col("n_e"), F.lit("repeated")),
+        F.when(~there, F.lit("missing")), F.when(F.col("n_a") > 1, F.lit("repeated")),
         F.when(there & off, F.lit("amount")), F.when(there & differ & (F.lit(always_fields) | ~off), F.lit("fields")),
     ))
     return both.select(*keys, F.explode(codes).alias("code"))

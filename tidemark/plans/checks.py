@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import has_offset, net_holds, prefixed, same_digest
+from tidemark.functions.columns import code_map, has_offset, net_holds, prefixed, redacted, same_digest
 from tidemark.operators import accounting, reconcile, timelines, totals
 from tidemark.schema import FINDING, as_findings
 
@@ -27,6 +27,7 @@ class Context:
     journal: DataFrame | None = None
     run_id: str = ""
     scope: str = "full"
+    redact: bool = False  # digests in place of values in the findings
 
 
 @dataclass(frozen=True)
@@ -54,6 +55,11 @@ def _key(keys: list[str]) -> Column:
 
 
 
+def _mapped(df: DataFrame, maps: dict[str, dict[str, str]] | None) -> DataFrame:
+    """df with the codes of some fields replaced; a code that has no entry is expected as null."""
+    return df.withColumns({f: code_map(F.col(f), codes) for f, codes in (maps or {}).items()})
+
+
 @check("presence")
 def presence(ctx: Context, dataset: str, keys: list[str]) -> DataFrame:
     """Expected rows are there. An empty expectation is a fault of its own."""
@@ -69,8 +75,9 @@ def no_unexpected(ctx: Context, dataset: str, keys: list[str]) -> DataFrame:
 
 
 @check("values")
-def values(ctx: Context, dataset: str, keys: list[str], fields: list[str]) -> DataFrame:
-    d = reconcile.mismatches(ctx.expected[dataset], ctx.actual[dataset], keys, fields)
+def values(ctx: Context, dataset: str, keys: list[str], fields: list[str], maps: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """maps: by field, the target's code for each expected one."""
+    d = reconcile.mismatches(_mapped(ctx.expected[dataset], maps), ctx.actual[dataset], keys, fields)
     return d.select(F.concat_ws("/", _key(keys), "field").alias("key"), F.lit("value").alias("code"), "expected", "actual", F.col("field").alias("detail"))
 
 
@@ -103,8 +110,8 @@ def keyed(ctx: Context, dataset: str, keys: list[str], fields: list[str], **opti
 
 
 @check("exactly_one")
-def exactly_one(ctx: Context, dataset: str, keys: list[str], fields: list[str]) -> DataFrame:
-    return reconcile.exactly_one(ctx.expected[dataset], ctx.actual[dataset], keys, fields).select(_key(keys).alias("key"), "code")
+def exactly_one(ctx: Context, dataset: str, keys: list[str], fields: list[str], maps: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    return reconcile.exactly_one(_mapped(ctx.expected[dataset], maps), ctx.actual[dataset], keys, fields).select(_key(keys).alias("key"), "code")
 
 
 @check("owners")
@@ -137,17 +144,27 @@ def net(ctx: Context, dataset: str, keys: list[str], gross: str, deductions: str
 
 @check("same_instant_text")
 def same_instant_text(ctx: Context, dataset: str, keys: list[str], at: str) -> DataFrame:
-    """Offset timestamps are the same text, and are offset timestamps."""
-    e, a = ctx.expected[dataset].select(*keys, F.col(at).alias("e")), ctx.actual[dataset].select(*keys, F.col(at).alias("a"))
+    """Offset timestamps of the n-th expected and the n-th actual row of a key are the same text, and are offset timestamps."""
+    side = lambda df: df.select(*keys, F.col(at).alias("at"))
+    p = reconcile.paired(side(ctx.expected[dataset]), side(ctx.actual[dataset]), keys, ["at"]).select(*keys, "rn", F.col("e.at").alias("e"), F.col("a.at").alias("a"))
     bad = F.when(~has_offset(F.col("a")), "no_offset").when(~F.col("e").eqNullSafe(F.col("a")), "text")
-    return e.join(a, keys).select(_key(keys).alias("key"), bad.alias("code"), F.col("e").alias("expected"), F.col("a").alias("actual")).where("code IS NOT NULL")
+    key = F.when(F.col("rn") == 1, _key(keys)).otherwise(F.concat_ws("/", _key(keys), "rn"))
+    return p.select(key.alias("key"), bad.alias("code"), F.col("e").alias("expected"), F.col("a").alias("actual")).where("code IS NOT NULL")
 
 
 @check("digests")
 def digests(ctx: Context, dataset: str, keys: list[str], hashed: str) -> DataFrame:
-    e, a = ctx.expected[dataset].select(*keys, F.col(hashed).alias("e")), ctx.actual[dataset].groupBy(*keys).agg(F.min(hashed).alias("a"), F.count(F.lit(1)).alias("n"))
-    code = F.when(F.col("n").isNull(), "missing").when(~same_digest(F.col("e"), F.col("a")), "content")
-    return e.join(a, keys, "left").select(_key(keys).alias("key"), code.alias("code")).where("code IS NOT NULL")
+    """Each expected content is there, once, with the same digest."""
+    e, a = ctx.expected[dataset].select(*keys, F.col(hashed).alias("e")), ctx.actual[dataset].groupBy(*keys).agg(F.min(F.lower(hashed)).alias("a"), F.max(F.lower(hashed)).alias("b"), F.count(F.lit(1)).alias("n"))
+    same = same_digest(F.col("e"), F.col("a")) & same_digest(F.col("e"), F.col("b"))
+    codes = F.array_compact(F.array(F.when(F.col("n").isNull(), F.lit("missing")), F.when(F.col("n") > 1, F.lit("repeated")), F.when(F.col("n").isNotNull() & ~same, F.lit("content"))))
+    return e.join(a, keys, "left").select(_key(keys).alias("key"), F.explode(codes).alias("code"))
+
+
+@check("event_positions")
+def event_positions(ctx: Context, dataset: str, owner: str, order: list[str], date: str, code: str) -> DataFrame:
+    """The n-th expected event of an owner is the n-th actual one."""
+    return timelines.positional(ctx.expected[dataset], ctx.actual[dataset], owner, order, date, code).select(F.concat_ws("/", _key([owner]), "rn").alias("key"), F.col("fault").alias("code"))
 
 
 @check("intervals")
@@ -185,7 +202,7 @@ def origin(ctx: Context) -> DataFrame:
 
 #: Named sets of checks for a domain, as functions of dataset names; categories: a code's kind of discrepancy.
 PACKS: dict[str, dict] = {
-    "membership": {"checks": ("accounting", "repeats", "presence", "values", "intervals", "keyed", "group_totals", "owners", "exactly_one", "digests"), "categories": {"missing": "missing", "repeat": "duplicate", "repeated": "duplicate", "amount": "amount", "total": "amount", "owner": "relationship", "orphan": "relationship", "content": "document"}},
+    "membership": {"checks": ("accounting", "repeats", "presence", "values", "event_positions", "intervals", "keyed", "group_totals", "owners", "exactly_one", "digests"), "categories": {"missing": "missing", "repeat": "duplicate", "repeated": "duplicate", "amount": "amount", "total": "amount", "owner": "relationship", "orphan": "relationship", "content": "document"}},
     "workforce": {"checks": ("references", "as_of", "paired_values", "net"), "categories": {"unresolved": "relationship", "cardinality": "timeline", "value": "value", "equation": "amount"}},
     "cases": {"checks": ("references", "paired_values", "event_order"), "categories": {"unresolved": "relationship", "value": "value", "order": "timeline"}},
     "billing": {"checks": ("paired_values", "references", "series", "group_totals"), "categories": {"unresolved": "relationship", "value": "value", "sequence": "timeline", "time": "timeline", "total": "amount"}},
@@ -204,7 +221,8 @@ def verify(ctx: Context, checks: list[Check]) -> DataFrame:
         col = lambda n: F.col(n) if n in found.columns else None  # noqa: B023, E731
         dataset = c.options.get("dataset", "")
         common = {"check_id": c.check_id, "check_type": c.kind, "dataset": dataset, "run_id": ctx.run_id, "scope": ctx.scope}
-        rows = as_findings(found, code=F.col("code"), key="key", expected=col("expected"), actual=col("actual"), detail=col("detail"), severity=c.severity, **common)
+        said = lambda n: c_ if (c_ := col(n)) is None or not ctx.redact else redacted(c_.cast("string"))  # noqa: B023, E731
+        rows = as_findings(found, code=F.col("code"), key="key", expected=said("expected"), actual=said("actual"), detail=col("detail"), severity=c.severity, **common)
         clean = rows.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("").alias("key"))
         out = out.unionByName(rows).unionByName(as_findings(clean, code="clean", key="key", result="pass", severity="info", **common))
     return out

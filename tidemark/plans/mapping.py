@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import prefixed
 
-OPERATIONS = ("copy", "map", "split", "transform", "derive", "archive", "exclude", "relationship", "merge", "aggregate")
+OPERATIONS = ("copy", "map", "split", "transform", "archive", "exclude", "relationship")
+#: Declared elsewhere, but no projection of one source: they are refused here, not run as a copy.
+REFUSED = ("derive", "merge", "aggregate")
 Step = Callable[[Column], Column]
 
 
@@ -36,6 +39,8 @@ class Edge:
     where: str | None = None
 
     def __post_init__(self) -> None:
+        if self.operation in REFUSED:
+            raise ValueError(f"{self.name}: {self.operation} is no projection of one source; prepare its rows (see merge) and copy them")
         if self.operation not in OPERATIONS:
             raise ValueError(f"{self.name}: no operation {self.operation!r}")
         if self.operation == "split" and len(self.targets) < 2:
@@ -50,8 +55,10 @@ class Plan:
     keys: dict[str, tuple[str, ...]]
 
     def digest(self) -> str:
-        """A hash that does not depend on the order of edges."""
-        said = sorted(json.dumps([e.name, e.source, e.targets, e.operation, sorted((k, v[0], len(v[1])) for k, v in e.fields.items()), sorted(e.rename.items()), e.where]) for e in self.edges)
+        """A hash over fields and steps (as the expressions that they build) that does not depend on the order of edges."""
+        steps = lambda x: [re.sub(r"\b([a-z])_\d+\b", r"\1", str(step(F.col("value")))) for step in x]
+        fields = lambda e: sorted((k, v[0], steps(v[1])) for k, v in e.fields.items())
+        said = sorted(json.dumps([e.name, e.source, e.targets, e.operation, fields(e), sorted(e.rename.items()), steps(e.every), e.where]) for e in self.edges)
         return hashlib.sha256(json.dumps([said, sorted((k, list(v)) for k, v in self.keys.items())]).encode()).hexdigest()
 
 
@@ -99,8 +106,8 @@ def expected_state(plan: Plan, datasets: dict[str, DataFrame], on_reject: str =
             bad = F.coalesce("_bad", F.when(F.col("_target_key").isNull(), F.lit("identity")))
             rejects.append(keyed.where(bad.isNotNull()).select("_edge", "_source_key", bad.alias("field")))
             if on_reject == "fail":
-                stop = F.raise_error(F.concat(F.lit(f"{e.name}: cannot map "), bad)).cast("string")
-                good = keyed.withColumn("_target_key", F.when(bad.isNull(), F.col("_target_key")).otherwise(stop))
+                # a filter, so that it holds whichever columns are read, or none
+                good = keyed.where(F.when(bad.isNull(), True).otherwise(F.raise_error(F.concat(F.lit(f"{e.name}: cannot map "), bad)).cast("boolean")))
             else:
                 good = keyed.where(bad.isNull())
             good = good.drop("_bad")

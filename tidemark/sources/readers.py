@@ -18,16 +18,24 @@ DIALECTS = {
     "db2": ("com.ibm.db2.jcc.DB2Driver", "SELECT tabschema AS table_schema, tabname AS table_name, colname AS column_name, typename AS data_type, nulls AS is_nullable, colno AS ordinal_position FROM syscat.columns"),
 }
 
+#: What a session says first, so that its reads repeat.
+REPEATABLE = {
+    "sqlserver": "SET TRANSACTION ISOLATION LEVEL REPEATABLE READ",
+    "postgresql": "SET SESSION CHARACTERISTICS AS TRANSACTION ISOLATION LEVEL REPEATABLE READ",
+    "oracle": "ALTER SESSION SET ISOLATION_LEVEL = SERIALIZABLE",
+    "db2": "SET CURRENT ISOLATION = RS",
+}
+
 
 def jdbc_options(dialect: str, url: str, table: str, *, partition: tuple[str, object, object, int] | None = None, decimals: dict[str, str] | None = None, consistent: bool = False, fetch: int = 10_000, **properties: str) -> dict[str, str]:
-    """Options of a table scan. partition: column, lower and upper bound, number; consistent: one connection, so one transaction."""
+    """Options of a table scan. partition: column, lower and upper bound, number; consistent: one statement of one session at a repeatable isolation level; several scans may still see several states."""
     if dialect not in DIALECTS:
         raise ValueError(f"no dialect {dialect!r}")
     out = {"url": url, "dbtable": table, "driver": DIALECTS[dialect][0], "fetchsize": str(fetch), **properties}
     if decimals:
         out["customSchema"] = ", ".join(f"{k} {v}" for k, v in decimals.items())
     if consistent:
-        out |= {"numPartitions": "1", "isolationLevel": "REPEATABLE_READ"}
+        out |= {"numPartitions": "1", "sessionInitStatement": REPEATABLE[dialect]}
     elif partition:
         out |= dict(zip(("partitionColumn", "lowerBound", "upperBound", "numPartitions"), map(str, partition)))
     return out
