@@ -187,12 +187,55 @@ def test_suffix_tree_scores(docs, rows):
     assert all(r.score < 0 and math.isfinite(r.score) for r in out.collect())
 
 
+def tree_scores(rows, training):
+    """(doc_id, log10 probability) by the definition: a state is a context that diverges from its longest suffix that is a state."""
+    tree, depth = suffix_tree_lm, suffix_tree_lm.DEPTH
+    texts = [b"\n" * depth + b" ".join(w.encode() for w in WORD.findall(lower(t or ""))) + b"\n" for _, t, *_ in rows]
+    after = collections.defaultdict(collections.Counter)
+    for text, learn in zip(texts, training):
+        for i in range(depth, len(text)) if learn else ():
+            for d in range(depth + 1):
+                after[text[i - d : i]][text[i]] += 1
+    states = {}
+
+    def p(context, symbol):
+        found = [context[i:] for i in range(len(context), -1, -1) if context[i:] in states]
+        x = 1 / 256
+        for c in found:
+            x = (after[c][symbol] + tree.PRIOR * x) / (states[c] + tree.PRIOR)
+        return x
+
+    for context in sorted(after, key=len):
+        total = sum(after[context].values())
+        away = sum(n * math.log(n / total / p(context, s)) for s, n in after[context].items())
+        if not context or away >= tree.EVIDENCE and away >= tree.DIVERGENCE * total:
+            states[context] = total
+    return [(r[0], sum(math.log10(p(t[i - depth : i], t[i])) for i in range(depth, len(t)))) for r, t in zip(rows, texts)], states
+
+
+@pytest.mark.parametrize("share", [1e-6, 2e-3, 2.0])
+def test_suffix_tree_by_brute_force(docs, rows, share):
+    training = [zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 7 != 2 for r in rows]
+    want, states = tree_scores(rows, training)
+    assert max(map(len, states)) > suffix_tree_lm.ROOT + 1
+    mine = suffix_tree_lm.score(docs, share=share).select("doc_id", "score").collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    for (a, x), (b, y) in zip(sorted(map(tuple, mine), key=key), sorted(want, key=key), strict=True):
+        assert a == b and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-6)
+
+
+def test_suffix_tree_without_training(docs, rows):
+    for r in suffix_tree_lm.score(docs, training=F.lit(False)).collect():
+        assert r.n_known == 0 and r.train_tokens == 0 and r.score < 0
+    assert [r.score for r in suffix_tree_lm.score(docs.where("doc_id = 41"), training=F.lit(False)).collect()] == [pytest.approx(-math.log10(256))]
+
+
 def test_suffix_tree_sums_to_one(docs):
     import numpy as np
 
     counts = suffix_tree_lm.corpus_counts(docs.select("text", F.lit(False).alias("held")), 4)
     tree = suffix_tree_lm.grow(counts, counts.where("kind = 1").agg(F.sum("total")).first()[0])
-    assert sum(len(x[0]) for x in tree.levels) > 5
+    assert sum(len(x[1]) for x in tree.levels) > 5
     for context in (b"\n\n\n\n\n", b" keba", b"zzzzz", b"lo ra"):
         grams = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
         assert abs((10 ** tree.log10(grams)).sum() - 1) < 1e-6

@@ -2,19 +2,21 @@
 
 A text is read as its lower-cased words, joined by single spaces and closed by
 an end symbol. The tree's contexts are the last 0 to DEPTH bytes. A context is
-a state if it makes up at least MIN_SHARE of all training symbols, which bounds
-the tree whatever the corpus, and if its next-symbol distribution diverges
-from that of its longest suffix that is a state: by DIVERGENCE nats a symbol, and by so much over
-all its occurrences that chance is ruled out. A state's distribution is
+a state if its next-symbol distribution diverges from that of its longest
+suffix that is a state: by DIVERGENCE nats a symbol, and by EVIDENCE nats over
+all its occurrences, so that chance is ruled out. Nothing else bounds the
+states, whose number grows with the training texts. A state's distribution is
 smoothed by its suffix's, down to a uniform one. Each symbol is scored by the
-longest suffix that is a state. A word's probability is that of its symbols
-and of ending there, mixed with the word's share of the training tokens.
+longest suffix that is a state, and a text by the sum over its symbols.
 
 Counts cover all training texts: grams and words are counted within a
-partition, then summed by buckets of their hashes. Words that make up
-HEAD_SHARE of all tokens or more, in training or elsewhere (a bounded number),
-are looked up in a broadcast; the others meet their counts in buckets of
-bounded size.
+partition, then summed by buckets, of words by their hashes, of grams by the
+last ROOT bytes of their contexts. What is frequent is broadcast: words that
+make up HEAD_SHARE of all tokens or more, in training or elsewhere, and
+contexts of up to ROOT bytes or of CONTEXT_SHARE of all training symbols or
+more (both bounded numbers). Every other word and every symbol after another
+context meet their counts in the bucket; a bucket holds all longer contexts
+with the same last ROOT bytes, so it settles there which of them are states.
 
 Defined results: a null or empty text has one token, the end; a null id counts
 as the empty string; without training texts no token is known and symbols are
@@ -34,14 +36,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, text_bytes
 
 DEPTH = 5
-#: Least share of the training symbols for a state; at most DEPTH / MIN_SHARE states.
-MIN_SHARE = 2e-5
-#: Least divergence from the suffix, in nats a symbol and in all.
+#: Contexts up to so many bytes are always broadcast: at most 65,793 for 2. Longer ones share a bucket by so many last bytes.
+ROOT = 2
+#: Least share of the training symbols of the other broadcast contexts: at most (DEPTH - ROOT) / CONTEXT_SHARE.
+CONTEXT_SHARE = 1e-6
+#: Least divergence of a state from its suffix, in nats a symbol and in all.
 DIVERGENCE, EVIDENCE = 0.01, 30.0
 #: Weight of the suffix's distribution, in symbols.
 PRIOR = 4.0
-#: Part of a word's probability that its share of the tokens makes up.
-WORD_PART = 0.5
 HEAD_SHARE = 1e-6
 #: Bytes of text whose counts share a bucket, about; buckets at least; bytes that are worked on at once.
 BUCKET_BYTES, BUCKETS, BLOCK = 16 << 20, 48, 3 << 19
@@ -102,11 +104,6 @@ class Stream:
         for i in range(DEPTH + 1):
             gram[DEPTH:] |= line[DEPTH - i : len(line) - i].astype(np.uint64) << np.uint64(8 * i)
         self.gram = gram[place]
-        # a word's symbols are first to last - 1; what ends it, a space or the end, is last
-        self.first = np.append(0, np.cumsum(kept))[begin] + self.of
-        self.last = self.first + end - begin
-        self.leading = np.append(True, self.of[1:] != self.of[:-1])[: len(begin)]
-        self.close = np.cumsum(size + 1) - 1
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Stream]]:
@@ -128,23 +125,30 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 WORDS, GRAMS = 0, 1
+#: Words have counts in training texts and in others, grams in training texts only.
+WIDTH = {WORDS: 2, GRAMS: 1}
 _COUNTS = "bucket int, kind int, keys binary, counts binary"
 
 
+def _dealt(keys: np.ndarray, kind: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys by bucket, and where each bucket begins."""
+    bucket = (_mixed(keys if kind == WORDS else (keys >> np.uint64(8)) & np.uint64((1 << 8 * ROOT) - 1)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
 def _counted(buckets: int):
     """Counts of words (in training texts, in others) and grams (in training texts) of blocks of a partition, packed by bucket."""
 
     def packets(held: dict) -> pa.RecordBatch:
         rows = []
         for kind, (keys, counts) in held.items():
-            bucket = (_mixed(keys) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            order, edges = _dealt(keys, kind, buckets)
             rows += [(b, kind, keys[order[x:y]].tobytes(), counts[order[x:y]].tobytes()) for b, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows)) or [()] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "kind", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = {k: (np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)) for k in (WORDS, GRAMS)}
+        none = {k: (np.zeros(0, np.uint64), np.zeros((0, w), np.int64)) for k, w in WIDTH.items()}
         held = dict(none)
         for batch, stream in _blocks(batches):
             other = np.asarray(batch.column("held").cast(pa.uint8())).astype(np.int64)
@@ -152,7 +156,7 @@ def _counted(buckets: int):
             apart = other[np.concatenate([stream.of, np.arange(len(other))])]
             for keys, column, kind in ((words[apart == 0], 0, WORDS), (words[apart == 1], 1, WORDS), (stream.gram[other[stream.text] == 0], 0, GRAMS)):
                 keys, n = np.unique(keys, return_counts=True)
-                counts = np.zeros((len(keys), 2), np.int64)
+                counts = np.zeros((len(keys), WIDTH[kind]), np.int64)
                 counts[:, column] = n
                 held[kind] = _summed(*(np.concatenate(x) for x in zip(held[kind], (keys, counts))))
             if sum(len(k) for k, _ in held.values()) > HELD:
@@ -163,27 +167,29 @@ def _counted(buckets: int):
     return run
 
 
-def _counts(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, np.int64).reshape(-1, 2)
+def _counts(packed: bytes, kind: int) -> np.ndarray:
+    return np.frombuffer(packed, np.int64).reshape(-1, WIDTH[kind])
 
 
 def _totals(key: tuple, table: pa.Table) -> pa.Table:
-    keys, counts = _summed(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]), np.concatenate([_counts(x) for x in table.column("counts").to_pylist()]))
-    return pa.table([pa.array([key[1].as_py()], pa.int32()), pa.array([int((counts[:, 0] > 0).sum())]), pa.array([int(counts[:, 0].sum())]), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["kind", "n_keys", "total", "keys", "counts"])
+    bucket, kind = (k.as_py() for k in key)
+    keys, counts = _summed(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]), np.concatenate([_counts(x, kind) for x in table.column("counts").to_pylist()]))
+    values = (bucket, kind, int((counts[:, 0] > 0).sum()), int(counts[:, 0].sum()), keys.tobytes(), counts.tobytes())
+    return pa.table([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "kind", "n_keys", "total", "keys", "counts"])
 
 
 def corpus_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """Counts over all texts (docs: text, held), in rows of whole buckets: kind, and of training texts n_keys and total; keys, counts (packed). Written once."""
-    return cut(docs.select("text", "held").mapInArrow(_counted(buckets), _COUNTS).groupBy("bucket", "kind").applyInArrow(_totals, "kind int, n_keys long, total long, keys binary, counts binary"))
+    """Counts over all texts (docs: text, held), in rows of whole buckets: bucket, kind, and of training texts n_keys and total; keys, counts (packed). Written once."""
+    return cut(docs.select("text", "held").mapInArrow(_counted(buckets), _COUNTS).groupBy("bucket", "kind").applyInArrow(_totals, "bucket int, kind int, n_keys long, total long, keys binary, counts binary"))
 
 
-def _unpacked(least: float = 1):
-    """The keys that reach a count on either side, with their count in training texts."""
+def _unpacked(kind: int, least: float = 1):
+    """The keys of a kind that reach a count in any column, with their count in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, c in zip(batch.column("keys"), batch.column("counts")):
-                keys, counts = np.frombuffer(k.as_py(), np.int64), _counts(c.as_py())
+                keys, counts = np.frombuffer(k.as_py(), np.int64), _counts(c.as_py(), kind)
                 some = counts.max(axis=1) >= least
                 yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(counts[some, 0])], names=["key", "n"])
 
@@ -191,15 +197,18 @@ def _unpacked(least: float = 1):
 
 
 class Tree:
-    """States by depth: contexts in order with their totals, and their next symbols' counts."""
+    """States in levels of one depth each, a context's suffixes in earlier levels: contexts in order with their totals, and their next symbols' counts.
+
+    ``decided`` holds the contexts of DEPTH bytes, in order, of which and of whose suffixes it is known here whether they are states.
+    """
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        self.levels = levels
+    def __init__(self, levels: list[tuple], decided: np.ndarray, least: float) -> None:
+        self.levels, self.decided, self.least = levels, decided, least
 
     def log10(self, gram: np.ndarray) -> np.ndarray:
         """log10 probability of each gram's last symbol after the longest suffix that is a state."""
         p = np.full(len(gram), 1 / 256)
-        for depth, (contexts, totals, grams, counts) in enumerate(self.levels):
+        for depth, contexts, totals, grams, counts in self.levels:
             if not len(contexts):
                 continue
             mine = gram & np.uint64((1 << 8 * (depth + 1)) - 1)
@@ -207,6 +216,28 @@ class Tree:
             p = np.where(total > 0, (n + PRIOR * p) / (total + PRIOR), p)
         return np.log10(p)
 
+    def add(self, depth: int, grams: np.ndarray, counts: np.ndarray) -> None:
+        """A further level: of the contexts of these grams (in order), those that diverge from the tree so far."""
+        context = grams >> np.uint64(8)
+        new = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(grams) else np.zeros(0, np.int64)
+        if not len(new):
+            return
+        size, total = np.diff(np.append(new, len(grams))), np.add.reduceat(counts, new)
+        away = np.add.reduceat(counts * (np.log(counts / np.repeat(total, size)) - self.log10(grams) * np.log(10)), new)
+        state = (away >= EVIDENCE) & (away >= DIVERGENCE * total) if depth else np.ones(len(new), bool)
+        mine = np.repeat(state, size)
+        self.levels.append((depth, context[new][state], total[state], grams[mine], counts[mine]))
+
+    def within(self, keys: np.ndarray, counts: np.ndarray) -> Tree:
+        """This tree with the states among the contexts that are not broadcast, from the whole counts of a bucket."""
+        tree = Tree(list(self.levels), self.decided, self.least)
+        for depth in range(ROOT + 1, DEPTH + 1):
+            grams, n = _summed(keys & np.uint64((1 << 8 * (depth + 1)) - 1), counts)
+            context, which = np.unique(grams >> np.uint64(8), return_inverse=True)
+            rare = (np.bincount(which, n, len(context)) < self.least)[which]
+            tree.add(depth, grams[rare], n[rare])
+        return tree
+
 
 def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
     if not len(known):
@@ -215,31 +246,21 @@ def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.nd
     return np.where(known[at] == keys, values[at], 0)
 
 
-def grow(counts: DataFrame, symbols: int) -> Tree:
-    """The tree of the counts of grams. What comes to the driver are the contexts of MIN_SHARE or more, at most (DEPTH + 1) / MIN_SHARE of them."""
-    grams = counts.where(F.col("kind") == GRAMS).select("keys", "counts").mapInArrow(_unpacked(), "key long, n long")
+def grow(counts: DataFrame, symbols: int, share: float = CONTEXT_SHARE) -> Tree:
+    """The broadcast part of the tree. What comes to the driver are the contexts of at most ROOT bytes and those of this share of the symbols, at most (DEPTH - ROOT) / share."""
+    least = share * symbols
+    grams = counts.where(F.col("kind") == GRAMS).select("keys", "counts").mapInArrow(_unpacked(GRAMS), "key long, n long")
     masks = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.lit((1 << 8 * (d + 1)) - 1).alias("mask")) for d in range(DEPTH + 1)]))
     levels = grams.select("key", "n", masks.alias("m")).groupBy(F.col("m.depth").alias("depth"), F.col("key").bitwiseAND(F.col("m.mask")).alias("gram")).agg(F.sum("n").alias("n"))
     contexts = levels.groupBy("depth", F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("gram", "n")).alias("next"))
-    rows = contexts.where((F.col("depth") == 0) | (F.col("total") >= MIN_SHARE * symbols)).select("depth", "total", "context", F.col("next.gram").alias("grams"), F.col("next.n").alias("ns")).toArrow()
-    depth, total, context = (rows.column(c).to_numpy() for c in ("depth", "total", "context"))
-    grams, ns = (rows.column(c).combine_chunks() for c in ("grams", "ns"))
-    size = np.diff(np.asarray(grams.offsets)) if len(rows) else np.zeros(0, np.int64)
-    flat, flat_n, of = np.asarray(grams.flatten()).astype(np.uint64), np.asarray(ns.flatten()), np.repeat(np.arange(len(rows)), size)
-    tree, empty = Tree([]), (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    rows = contexts.where((F.col("depth") <= ROOT) | (F.col("total") >= least)).select("depth", F.inline("next")).toArrow()
+    depth, gram, n = (rows.column(c).to_numpy() for c in ("depth", "gram", "n"))
+    gram = gram.astype(np.uint64)
+    tree = Tree([], np.unique(gram[depth == DEPTH] >> np.uint64(8)), least)
     for d in range(DEPTH + 1):
         here = np.flatnonzero(depth == d)
-        inside = np.flatnonzero(depth[of] == d) if len(of) else np.zeros(0, np.int64)
-        if not len(here):
-            tree.levels.append(empty)
-            continue
-        share = flat_n[inside] / total[of[inside]]
-        away = np.bincount(of[inside], flat_n[inside] * (np.log(share) - tree.log10(flat[inside]) * np.log(10)), len(rows))
-        state = (away >= EVIDENCE) & (away >= DIVERGENCE * total) & (depth == d) if d else depth == d
-        own, own_of = np.flatnonzero(state), inside[state[of[inside]]]
-        contexts_, by = context[own].astype(np.uint64), np.argsort(context[own])
-        order = np.argsort(flat[own_of])
-        tree.levels.append((contexts_[by], total[own][by], flat[own_of][order], flat_n[own_of][order]))
+        here = here[np.argsort(gram[here])]
+        tree.add(d, gram[here], n[here])
     return tree
 
 
@@ -248,111 +269,116 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-_ENTRY = np.dtype([("word", "<u8"), ("text", "<u4"), ("log10", "<f4")])
-_PACKET = "bucket int, rows binary, held binary, entries binary, base binary, known binary, tokens binary, score binary"
-_PACKET_NAMES = ["bucket", "rows", "held", "entries", "base", "known", "tokens", "score"]
-
+_ENTRY = np.dtype([("key", "<u8"), ("text", "<u4")])
+_SUMS = np.dtype([("base", "<f8"), ("known", "<i8"), ("tokens", "<i8"), ("score", "<f8")])
+_PACKET = "bucket int, kind int, keys binary, counts binary, rows binary, held binary, entries binary, sums binary"
+_PACKET_NAMES = [c.split()[0] for c in _PACKET.split(", ")]
+_RESULT = "row_no long, base double, known long, tokens long, score double"
 
-def _token_log10(tree: Tree, stream: Stream) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probability by the tree of each word, and of each text's end.
 
-    A place between words either ends the text or begins a word, and a word ends with either.
-    """
-    swapped = stream.gram[stream.last] ^ np.uint64(32 ^ END)  # the other way to end a word
-    grams, which = np.unique(np.concatenate([stream.gram, swapped]), return_inverse=True)
-    known = tree.log10(grams)
-    symbol, other = known[which[: len(stream.gram)]], 10 ** known[which[len(stream.gram) :]]
-    here = 10 ** symbol[stream.last]
-    ended = here + other
-    stop = np.where(stream.last == stream.close[stream.of], here, other) / ended
-    total = np.append(0, np.cumsum(symbol))
-    word = total[stream.last] - total[stream.first] + np.log10(ended)
-    word[~stream.leading] += np.log10(np.maximum(1 - np.append(0, stop)[:-1][~stream.leading], 1e-12))
-    end = symbol[stream.close]
-    final = np.append(stream.leading[1:], True)[: len(stop)]
-    end[stream.of[final]] = np.log10(stop[final])
-    return word, end
-
-
-def _mix(log10: np.ndarray, count: np.ndarray, tokens: int) -> np.ndarray:
-    """log10 of the mixture; taken in logarithms, since a very long word's probability is too small for a float."""
-    share = np.log(np.maximum(count, 1e-300) / max(1, tokens)) + np.log(WORD_PART)
-    return np.logaddexp(np.asarray(log10, np.float64) * np.log(10) + np.log(1 - WORD_PART), np.where(np.asarray(count) > 0, share, -np.inf)) / np.log(10)
+def _result(rows: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows), *[pa.array(np.ascontiguousarray(sums[c])) for c in _SUMS.names]], names=["row_no", *_SUMS.names])
 
 
 def _scored(model, buckets: int):
-    """Scores of frequent words, by text, and the other words, packed by bucket. Text results ride along in the packets."""
+    """What is known of a text by the broadcast; the other words and symbols, packed by bucket. A text's sums ride along with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, head, head_n, tokens = model.value
+        tree, head, head_n = model.value
         for batch, stream in _blocks(batches):
-            n = batch.num_rows
-            log10, end = _token_log10(tree, stream)
+            n, out = batch.num_rows, []
+            rows, held = np.asarray(batch.column("row_no")), np.asarray(batch.column("held").cast(pa.uint8()))
             ends = _looked_up(np.array([END_WORD]), head, head_n)[0]
             c, frequent = _looked_up(stream.word, head, head_n), _looked_up(stream.word, head, np.ones(len(head), bool)).astype(bool)
-            known = np.bincount(stream.of[c > 0], minlength=n) + int(ends > 0)
-            base = np.bincount(stream.of, np.where(frequent, np.log10(c + 1.0), 0), n) + np.log10(ends + 1.0)
-            score = np.bincount(stream.of, np.where(frequent, _mix(log10, c, tokens), 0), n) + _mix(end, ends, tokens)
-            rare = np.flatnonzero(~frequent)
-            entries = np.zeros(len(rare), _ENTRY)
-            entries["word"], entries["text"], entries["log10"] = stream.word[rare], stream.of[rare], log10[rare]
-            rows, held = np.asarray(batch.column("row_no")), np.asarray(batch.column("held").cast(pa.uint8()))
-            bucket = (_mixed(entries["word"]) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            home = (_mixed(rows.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            out = []
-            for b, (x, y) in enumerate(zip(edges, edges[1:])):
-                chosen, mine = entries[order[x:y]], np.flatnonzero(home == b)
-                used, local = np.unique(np.concatenate([mine, chosen["text"]]), return_inverse=True)
-                chosen["text"] = local[len(mine) :]
-                at_home = np.isin(used, mine)
-                own = lambda v, t: np.where(at_home, v[used], 0).astype(t).tobytes()  # noqa: B023, E731
-                if len(used):
-                    out.append((b, rows[used].tobytes(), held[used].tobytes(), chosen.tobytes(), own(base, "<f8"), own(known, "<i8"), own(stream.n_words + 1, "<i8"), own(score, "<f8")))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*out)) or [()] * 8, (pa.int32(), *[pa.binary()] * 7))], names=_PACKET_NAMES)
+            grams, which = np.unique(stream.gram, return_inverse=True)
+            far = ~_looked_up(grams >> np.uint64(8), tree.decided, np.ones(len(tree.decided), bool)).astype(bool)
+            log10 = np.zeros(len(grams))
+            log10[~far] = tree.log10(grams[~far])
+            sums = np.zeros(n, _SUMS)
+            sums["base"] = np.bincount(stream.of, np.where(frequent, np.log10(c + 1.0), 0), n) + np.log10(ends + 1.0)
+            sums["known"] = np.bincount(stream.of[c > 0], minlength=n) + int(ends > 0)
+            sums["tokens"], sums["score"] = stream.n_words + 1, np.bincount(stream.text, log10[which], n)
+            rare, far = np.flatnonzero(~frequent), np.flatnonzero(far[which])
+            home, starts = _dealt(rows.view(np.uint64), WORDS, buckets)
+            for kind, keys, text in ((WORDS, stream.word[rare], stream.of[rare]), (GRAMS, stream.gram[far], stream.text[far])):
+                order, edges = _dealt(keys, kind, buckets)
+                for b, (x, y) in enumerate(zip(edges, edges[1:])):
+                    mine = home[starts[b] : starts[b + 1]] if kind == WORDS else np.zeros(0, np.int64)
+                    used, local = np.unique(np.concatenate([mine, text[order[x:y]]]), return_inverse=True)
+                    if not len(used):
+                        continue
+                    entries = np.zeros(y - x, _ENTRY)
+                    entries["key"], entries["text"] = keys[order[x:y]], local[len(mine) :]
+                    own = np.zeros(len(used), _SUMS)
+                    own[local[: len(mine)]] = sums[mine]
+                    out.append((b, kind, None, None, rows[used].tobytes(), held[used].tobytes(), entries.tobytes(), own.tobytes() if kind == WORDS else None))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*out)) or [()] * 8, (pa.int32(), pa.int32(), *[pa.binary()] * 6))], names=_PACKET_NAMES)
 
     return run
 
 
-def _met(tokens: int):
-    def run(table: pa.Table) -> pa.Table:
-        """A bucket's rare words meet their counts in the training texts; sums by text."""
-        parts, entries, n = {k: [] for k in ("rows", "held", "base", "known", "tokens", "score")}, [], 0
-        for row in zip(*(table.column(c).to_pylist() for c in _PACKET_NAMES[1:])):
-            x = dict(zip(_PACKET_NAMES[1:], row))
+def _met(model):
+    def words(packets: list[dict]) -> pa.RecordBatch:
+        """A bucket's rare words meet their counts in the training texts, which are all here."""
+        rows, held, sums, entries, n = [], [], [], [], 0
+        for x in packets:
             entries.append(np.frombuffer(x["entries"], _ENTRY).copy())
             entries[-1]["text"] += n
-            for k, t in (("rows", np.int64), ("held", np.uint8), ("base", np.float64), ("known", np.int64), ("tokens", np.int64), ("score", np.float64)):
-                parts[k].append(np.frombuffer(x[k], t))
-            n += len(parts["rows"][-1])
-        parts, entries = {k: np.concatenate(v) for k, v in parts.items()}, np.concatenate(entries)
-        words, which = np.unique(entries["word"], return_inverse=True)
-        c = np.bincount(which, parts["held"][entries["text"]] == 0, len(words))[which] if len(entries) else np.zeros(0)
-        base = parts["base"] + np.bincount(entries["text"], np.log10(c + 1), n)
-        known = parts["known"] + np.bincount(entries["text"], c > 0, n).astype(np.int64)
-        score = parts["score"] + np.bincount(entries["text"], _mix(entries["log10"], c, tokens), n)
-        return pa.table([pa.array(parts["rows"]), pa.array(base), pa.array(known), pa.array(parts["tokens"]), pa.array(score)], names=["row_no", "base", "known", "tokens", "score"])
+            for to, k, t in ((rows, "rows", np.int64), (held, "held", np.uint8), (sums, "sums", _SUMS)):
+                to.append(np.frombuffer(x[k], t))
+            n += len(rows[-1])
+        held, sums, entries = np.concatenate(held), np.concatenate(sums).copy(), np.concatenate(entries)
+        distinct, which = np.unique(entries["key"], return_inverse=True)
+        c = np.bincount(which, held[entries["text"]] == 0, len(distinct))[which] if len(entries) else np.zeros(0)
+        sums["base"] += np.bincount(entries["text"], np.log10(c + 1), n)
+        sums["known"] += np.bincount(entries["text"], c > 0, n).astype(np.int64)
+        return _result(np.concatenate(rows), sums)
+
+    def symbols(tree: Tree, x: dict) -> pa.RecordBatch:
+        rows, entries = np.frombuffer(x["rows"], np.int64), np.frombuffer(x["entries"], _ENTRY)
+        grams, which = np.unique(entries["key"], return_inverse=True)
+        sums = np.zeros(len(rows), _SUMS)
+        sums["score"] = np.bincount(entries["text"], tree.log10(grams)[which], len(rows))
+        return _result(rows, sums)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A bucket of words, which is held, or of grams: their counts come first, then one packet after the other is scored."""
+        held, tree = [], None
+        for batch in batches:
+            for x in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+                if x["kind"] == WORDS:
+                    held.append(x)
+                elif x["keys"] is not None:
+                    if tree is not None:
+                        raise ValueError("counts of a bucket must come before its packets")
+                    tree = model.value[0].within(np.frombuffer(x["keys"], np.uint64), _counts(x["counts"], GRAMS)[:, 0])
+                else:
+                    tree = tree or model.value[0]
+                    yield symbols(tree, x)
+        if held:
+            yield words(held)
 
     return run
 
 
-def score(docs: DataFrame, training: Column | None = None) -> DataFrame:
-    """A row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. training: the rows to learn from."""
+def score(docs: DataFrame, training: Column | None = None, share: float = CONTEXT_SHARE) -> DataFrame:
+    """A row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. training: the rows to learn from. share: what a context makes up to be broadcast (no matter for the result)."""
     held = held_out(F.col("doc_id")) if training is None else ~training
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(BUCKETS, size // BUCKET_BYTES)
     counts = corpus_counts(docs.select("text", held.alias("held")), buckets)
     totals = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n_keys").alias("n_keys"), F.sum("total").alias("total")).collect()}
     tokens, distinct = (totals[WORDS]["total"], totals[WORDS]["n_keys"]) if totals else (0, 0)
-    tree = grow(counts, totals[GRAMS]["total"] if totals else 0)
-    head = counts.where(F.col("kind") == WORDS).select("keys", "counts").mapInArrow(_unpacked(max(1, HEAD_SHARE * tokens)), "key long, n long").toArrow()
+    tree = grow(counts, totals[GRAMS]["total"] if GRAMS in totals else 0, share)
+    head = counts.where(F.col("kind") == WORDS).select("keys", "counts").mapInArrow(_unpacked(WORDS, max(1, HEAD_SHARE * tokens)), "key long, n long").toArrow()
     keys, n = (head.column(c).to_numpy() for c in ("key", "n"))
     order = np.argsort(keys.view(np.uint64))
-    model = docs.sparkSession.sparkContext.broadcast((tree, keys.view(np.uint64)[order], n[order], tokens))
+    model = docs.sparkSession.sparkContext.broadcast((tree, keys.view(np.uint64)[order], n[order]))
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", held.alias("held"), "text")
-    sums = rows.select("row_no", "held", "text").mapInArrow(_scored(model, buckets), _PACKET).groupBy("bucket").applyInArrow(_met(tokens), "row_no long, base double, known long, tokens long, score double")
-    by_row = sums.groupBy("row_no").agg(*[F.sum(c).alias(c) for c in ("base", "known", "tokens", "score")])
+    packets = rows.select("row_no", "held", "text").mapInArrow(_scored(model, buckets), _PACKET)
+    known = counts.where(F.col("kind") == GRAMS).select("bucket", "kind", "keys", "counts", *[F.lit(None).cast("binary").alias(c) for c in _PACKET_NAMES[4:]])
+    dealt = packets.unionByName(known).repartition("bucket", "kind").sortWithinPartitions("bucket", "kind", F.col("keys").isNull())
+    by_row = dealt.groupBy("bucket", "kind").applyInArrow(_met(model), _RESULT).groupBy("row_no").agg(*[F.sum(c).alias(c) for c in _SUMS.names])
     least = float(np.log10(tokens + distinct + 1.0))
     return rows.select("row_no", "doc_id", "held").join(by_row, "row_no").select(
         "doc_id", F.col("held").alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
