@@ -454,6 +454,18 @@ def test_secret_copied_within_one_owner(spark):
     assert all((out[i].n_live, out[i].n_example, len(out[i].spans)) == (1, 0, 1) for i in range(100, 130))  # exact copies are one text
 
 
+def test_common_credentials_are_joined_like_others(spark):
+    rows = [(i, f"h{i % 2 if i < 40 else i}", str(i % 7), f"o{i % 3}", i) for i in range(60)]
+    found = spark.createDataFrame(rows, "row_no long, hash string, repository string, owner string, text_hash long")
+    want = {}
+    for _, h, r, o, _ in rows:
+        want.setdefault(h, set()).add((o, r))
+    for common in (0.0, 1e-5, 0.1, 1.1):
+        out = secrets.with_ownership(found, common).collect()
+        assert sorted(r.row_no for r in out) == list(range(60))
+        assert all((r.n_repositories, r.n_owners) == (len(want[r.hash]), len({o for o, _ in want[r.hash]})) for r in out)
+
+
 def test_secret_spans_by_brute_force(docs, sf_dir, spark):
     assign = re.compile(secrets.BASE["assign"][0].replace("(?i)", ""), re.I | re.A)
     for r in secrets.secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id").collect():

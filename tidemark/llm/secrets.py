@@ -43,6 +43,8 @@ SPAN = "array<struct<start:long,end:long,kind_no:int,kind:string,value:string>>"
 SHARED_OWNERS = 3
 #: So is one of so many repositories or more, even of one owner.
 SHARED_REPOSITORIES = 10
+#: Credentials of this share of all places or more are joined by broadcast (100,000 hashes at most).
+COMMON_SHARE = 1e-5
 
 
 def matches(text: Column, kind: str, no: int, pattern: str, group: int, least: int) -> Column:
@@ -74,10 +76,23 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source") ->
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """A row a credential hash: n_repositories, n_owners, over the whole corpus. Counts are taken level by level, so a widely copied credential is spread over its repositories first."""
-    texts = found.groupBy("hash", F.coalesce("owner", F.lit("")).alias("owner"), "text_hash").agg(F.min(F.coalesce("repository", F.lit(""))).alias("repository"))
-    once = texts.select("hash", "owner", "repository").distinct()
-    return once.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
+    """A row a credential hash: n_repositories, n_owners, n_places, over the whole corpus. Counts are taken level by level, so a widely copied credential is spread over its repositories first."""
+    texts = found.groupBy("hash", F.coalesce("owner", F.lit("")).alias("owner"), "text_hash").agg(F.min(F.coalesce("repository", F.lit(""))).alias("repository"), F.count(F.lit(1)).alias("n"))
+    once = texts.groupBy("hash", "owner", "repository").agg(F.sum("n").alias("n"))
+    return once.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n_repositories"), F.sum("n").alias("n")).groupBy("hash").agg(F.sum("n_repositories").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_places"))
+
+
+def with_ownership(found: DataFrame, common: float = COMMON_SHARE) -> DataFrame:
+    """found with n_repositories and n_owners of each place's hash.
+
+    Hashes of a share of all places are broadcast, which are 1 / common at most whatever the corpus's
+    size; the others are joined by hash, where none has more rows than that share.
+    """
+    counts = cut(ownership(found))
+    bar = common * (counts.agg(F.sum("n_places")).first()[0] or 0)
+    many, few = counts.where(F.col("n_places") >= bar).drop("n_places"), counts.where(F.col("n_places") < bar).drop("n_places")
+    rest = found.join(F.broadcast(many.select("hash")), "hash", "left_anti").join(few, "hash")
+    return found.join(F.broadcast(many), "hash").unionByName(rest)
 
 
 def verdict(value: Column, n_owners: Column, n_repositories: Column, shared: int = SHARED_OWNERS, copied: int = SHARED_REPOSITORIES) -> Column:
@@ -90,7 +105,7 @@ def secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source")
     """A row a document: doc_id, base spans, all spans (with verdicts), n_live, n_example."""
     scanned = scan(docs, repository, owner)
     found = scanned.select("row_no", "repository", "owner", "text_hash", F.explode(F.concat("base", "extra")).alias("span")).withColumn("hash", F.sha2(F.col("span.value").cast("binary"), 256))
-    judged = found.join(ownership(found), "hash").select("row_no", F.struct("span.start", "span.end", "span.kind_no", "span.kind", verdict(F.col("span.value"), F.col("n_owners"), F.col("n_repositories")).alias("verdict"), "hash", "n_owners", "n_repositories").alias("span"))
+    judged = with_ownership(found).select("row_no", F.struct("span.start", "span.end", "span.kind_no", "span.kind", verdict(F.col("span.value"), F.col("n_owners"), F.col("n_repositories")).alias("verdict"), "hash", "n_owners", "n_repositories").alias("span"))
     by_row = judged.groupBy("row_no").agg(F.array_sort(F.collect_list("span")).alias("all"))
     none = by_row.schema["all"].dataType
     return scanned.join(by_row, "row_no", "left").select(
