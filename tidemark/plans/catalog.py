@@ -11,7 +11,7 @@ from tidemark.functions import columns as C
 from tidemark.functions.canonical import LANES, row_fingerprint, set_lanes
 from tidemark.operators import accounting, profile, reconcile, runs, timelines, totals
 from tidemark.plans import frames as f
-from tidemark.plans.checks import Check, Context, verify
+from tidemark.plans.checks import CHECKS, Check, Context, verify
 from tidemark.plans.mapping import Edge, Plan, expected_state
 from tidemark.plans.scope import Predicate, Scope
 from tidemark.sources import readers
@@ -530,6 +530,186 @@ def inferred_types(spark, d):
     return profile.inferred_types(text, ["part", "size", "price"])
 
 
+def _len(c: str) -> str:
+    """A key part as findings name it: its length before it."""
+    return f"octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}"
+
+
+@query(f"""WITH {f.JOURNAL}, u AS (SELECT f.* FROM f JOIN orders ON source_key = CAST(o_orderkey AS VARCHAR) WHERE o_orderpriority = '1-URGENT')
+SELECT * FROM (SELECT source_key AS key, CASE WHEN (p > 0 AND x > 0) OR (fl > 0 AND (p > 0 OR x > 0)) THEN 'conflict' WHEN fl > 0 THEN 'failed' WHEN p = 0 AND x = 0 THEN 'unaccounted' END AS code FROM u) WHERE code IS NOT NULL
+UNION ALL SELECT '', 'no_sources' WHERE NOT EXISTS (SELECT 1 FROM u)""")
+def accounting_of_a_type(spark, d):
+    urgent = f.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("source_key"))
+    return CHECKS["accounting"](Context({}, {}, sources=urgent, journal=f.journal(spark, d)))
+
+
+def _members(spark, d):
+    k = F.col("c_custkey")
+    e = f.table(spark, d, "customer").select(k, "c_name", "c_mktsegment")
+    a = e.where(k % 41 != 0).withColumns({"c_mktsegment": F.when(k % 37 == 0, F.lit(None)).otherwise(F.col("c_mktsegment")), "c_name": F.when(k % 43 == 0, F.lower("c_name")).otherwise(F.col("c_name"))})
+    return Context({"members": e}, {"members": a})
+
+
+@query(f"""SELECT {_len('c_custkey')} || '/c_mktsegment' AS key, 'value' AS code, c_mktsegment AS expected, NULL AS actual, 'c_mktsegment' AS detail FROM customer WHERE c_custkey % 41 <> 0 AND c_custkey % 37 = 0 AND c_mktsegment IS NOT NULL
+UNION ALL SELECT {_len('c_custkey')} || '/c_name', 'value', c_name, lower(c_name), 'c_name' FROM customer WHERE c_custkey % 41 <> 0 AND c_custkey % 43 = 0 AND c_name <> lower(c_name)""")
+def member_values(spark, d):
+    return CHECKS["values"](_members(spark, d), "members", ["c_custkey"], ["c_name", "c_mktsegment"])
+
+
+@query(f"SELECT {_len('c_custkey')} AS key, 'missing' AS code FROM customer WHERE c_custkey % 41 = 0 UNION ALL SELECT '', 'nothing_expected' WHERE NOT EXISTS (SELECT 1 FROM customer)")
+def member_presence(spark, d):
+    return CHECKS["presence"](_members(spark, d), "members", ["c_custkey"])
+
+
+_STATUS = {"O": "open", "F": "closed", "P": "pending"}
+_RECODED = f"{f.ORDERS}, m AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'closed' WHEN 'P' THEN 'pending' END AS code_ FROM e), r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'open' ELSE CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'closed' WHEN 'P' THEN 'pending' ELSE 'other' END END AS code_ FROM a)"
+
+
+def _recoded(spark, d) -> Context:
+    e, a = sides(spark, d)
+    codes = F.when(F.col("o_orderkey") % 7 == 0, "open").otherwise(C.code_map(F.col("o_orderstatus"), _STATUS, "default", "other"))
+    return Context({"orders": e}, {"orders": a.withColumn("o_orderstatus", codes)})
+
+
+@query(f"WITH {_RECODED} SELECT {_len('m.o_orderkey')} || '/o_orderstatus' AS key, 'value' AS code, m.code_ AS expected, r.code_ AS actual, 'o_orderstatus' AS detail FROM m JOIN r USING (o_orderkey) JOIN once USING (o_orderkey) WHERE m.code_ IS DISTINCT FROM r.code_")
+def member_status(spark, d):
+    return CHECKS["values"](_recoded(spark, d), "orders", KEY, ["o_orderstatus"], maps={"o_orderstatus": _STATUS})
+
+
+@query(f"""WITH {_RECODED}, g AS (SELECT o_orderkey, count(*) AS n, min(code_) AS code_ FROM r GROUP BY 1)
+SELECT * FROM (SELECT {_len('m.o_orderkey')} AS key, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' WHEN m.code_ IS DISTINCT FROM g.code_ THEN 'fields' END AS code FROM m LEFT JOIN g USING (o_orderkey)) WHERE code IS NOT NULL""")
+def code_transformation(spark, d):
+    return CHECKS["exactly_one"](_recoded(spark, d), "orders", KEY, ["o_orderstatus"], maps={"o_orderstatus": _STATUS})
+
+
+@query(f"""WITH {_STATES}, x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date) AS rn FROM ch), y AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date) AS rn FROM ch WHERE epoch_us(date) % 23 <> 0)
+SELECT * FROM (SELECT {_len('user_id')} || '/' || rn AS key, CASE WHEN y.date IS NULL THEN 'missing' WHEN x.date IS NULL THEN 'extra' WHEN x.date <> y.date THEN 'date' WHEN x.code <> y.code THEN 'code' END AS code FROM x FULL JOIN y USING (user_id, rn)) WHERE code IS NOT NULL""")
+def member_timeline(spark, d):
+    e = _changes(spark, d)
+    a = e.where(F.unix_micros(F.col("date").cast("timestamp")) % 23 != 0)
+    return CHECKS["event_positions"](Context({"events": e}, {"events": a}), "events", "user_id", ["date"], "date", "code")
+
+
+@query(f"""WITH {_SPANS}, w AS (SELECT *, lag(end_) OVER o AS was, lag(end_ IS NULL) OVER o AS open_ FROM v WHERE start_ IS NOT NULL AND (end_ IS NULL OR end_ >= start_) WINDOW o AS (PARTITION BY o_custkey ORDER BY start_, o_orderkey))
+SELECT * FROM (SELECT o_custkey, o_orderkey, CASE WHEN start_ IS NULL THEN 'no_start' WHEN end_ < start_ THEN 'reversed' END AS code FROM v UNION ALL
+SELECT o_custkey, o_orderkey, CASE WHEN open_ THEN 'after_open' WHEN start_ <= was THEN 'overlap' WHEN start_ - was > 1 THEN 'gap' END FROM w) WHERE code IS NOT NULL""")
+def valid_periods(spark, d):
+    return timelines.interval_faults(_spans(spark, d), "o_custkey", "start_", "end_", "o_orderkey", continuous=True, skip_invalid=True)
+
+
+_DOCUMENTS = """de AS (SELECT doc_id, source, sha256(text) AS hash FROM documents),
+da0 AS (SELECT doc_id, CASE WHEN doc_id % 29 = 0 THEN source || 'x' ELSE source END AS source, CASE WHEN doc_id % 19 = 0 THEN 'gone' WHEN doc_id % 2 = 0 THEN upper(hash) ELSE hash END AS hash FROM de WHERE doc_id % 17 <> 0),
+da AS (SELECT * FROM da0 UNION ALL SELECT * FROM da0 WHERE doc_id % 23 = 0)"""
+
+
+def _documents(spark, d) -> Context:
+    k = F.col("doc_id")
+    e = f.table(spark, d, "documents").select(k, "source", F.sha2("text", 256).alias("hash"))
+    a = e.where(k % 17 != 0).withColumns({"source": F.when(k % 29 == 0, F.concat("source", F.lit("x"))).otherwise(F.col("source")), "hash": F.when(k % 19 == 0, "gone").when(k % 2 == 0, F.upper("hash")).otherwise(F.col("hash"))})
+    a = a.withColumn("_copy", F.explode(F.when(k % 23 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_copy")
+    return Context({"documents": e}, {"documents": a, "sources": f.table(spark, d, "documents").where("doc_id % 3 = 0 AND source <> 'src1'").select("source").distinct()})
+
+
+@query(f"""WITH {_DOCUMENTS}, g AS (SELECT doc_id, count(*) AS n, min(lower(hash)) AS h FROM da GROUP BY 1), x AS (SELECT {_len('de.doc_id')} AS key, n, coalesce(lower(de.hash) = h, FALSE) AS same FROM de LEFT JOIN g USING (doc_id))
+SELECT key, 'missing' AS code FROM x WHERE n IS NULL UNION ALL SELECT key, 'repeated' FROM x WHERE n > 1 UNION ALL SELECT key, 'content' FROM x WHERE n IS NOT NULL AND NOT same""")
+def document_accounting(spark, d):
+    return CHECKS["digests"](_documents(spark, d), "documents", ["doc_id"], "hash")
+
+
+@query(f"""WITH {_DOCUMENTS}, known AS (SELECT DISTINCT source AS own FROM documents WHERE doc_id % 3 = 0 AND source <> 'src1'), g AS (SELECT doc_id, count(*) AS n, min(source) AS own FROM da GROUP BY 1),
+x AS (SELECT {_len('de.doc_id')} AS k, n, de.source IS DISTINCT FROM g.own AS other, g.own NOT IN (SELECT own FROM known WHERE own IS NOT NULL) OR g.own IS NULL AS orphan FROM de LEFT JOIN g USING (doc_id))
+SELECT k || '/missing' AS key, 'missing' AS code FROM x WHERE n IS NULL UNION ALL SELECT k || '/repeated', 'repeated' FROM x WHERE n > 1 UNION ALL SELECT k || '/owner', 'owner' FROM x WHERE n IS NOT NULL AND other UNION ALL SELECT k || '/orphan', 'orphan' FROM x WHERE n IS NOT NULL AND orphan""")
+def document_owner(spark, d):
+    return CHECKS["owners"](_documents(spark, d), "documents", ["doc_id"], "source", "sources", "source")
+
+
+_AT = "strftime(ts, '%Y-%m-%dT%H:%M:%S')"
+
+
+def _instants(spark, d):
+    return f.table(spark, d, "events").select("event_id", "ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
+
+
+@query(f"""WITH x AS (SELECT event_id, {_AT} || 'Z' AS expected, {_AT} || CASE WHEN event_id % 37 = 0 THEN '' WHEN event_id % 31 = 0 THEN '+00:00' ELSE 'Z' END AS actual FROM events)
+SELECT {_len('event_id')} AS key, CASE WHEN event_id % 37 = 0 THEN 'no_offset' ELSE 'text' END AS code, expected, actual FROM x WHERE expected <> actual""")
+def instant_text(spark, d):
+    k, rows = F.col("event_id"), _instants(spark, d)
+    zone = F.when(k % 37 == 0, "").when(k % 31 == 0, "+00:00").otherwise("Z")
+    ctx = Context({"events": rows.withColumn("at", F.concat("at", F.lit("Z")))}, {"events": rows.withColumn("at", F.concat(F.col("at"), zone))})
+    return CHECKS["same_instant_text"](ctx, "events", ["event_id"], "at")
+
+
+@query("SELECT event_id, event_id % 5 = 0 AS has_offset, CASE WHEN event_id % 5 <> 4 THEN epoch_us(date_trunc('second', ts)) - CASE WHEN event_id % 5 = 0 THEN 7200000000 ELSE 0 END END AS micros FROM events")
+def timestamp_kinds(spark, d):
+    k = F.col("event_id")
+    text = F.when(k % 5 == 4, "no time").when(k % 5 == 0, F.concat("at", F.lit("+02:00"))).otherwise(F.col("at"))
+    return _instants(spark, d).select("event_id", C.timestamp_kind(text).alias("t")).select("event_id", "t.has_offset", "t.micros")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN CAST(o_orderdate AS DATE) END AS day FROM orders")
+def dates_of_text(spark, d):
+    k, day = F.col("o_orderkey"), lambda p: F.date_format("o_orderdate", p)
+    text = F.when(k % 4 == 0, day("yyyy-MM-dd")).when(k % 4 == 1, day("yyyyMMdd")).when(k % 4 == 2, day("dd.MM.yyyy")).otherwise("1997-02-31")
+    return f.table(spark, d, "orders").select("o_orderkey", C.as_date(text).alias("day"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_totalprice AS DECIMAL(18,2)) END::DECIMAL(38,2) AS price FROM orders")
+def exact_decimals(spark, d):
+    k, price = F.col("o_orderkey"), F.col("o_totalprice").cast(f.MONEY).cast("string")
+    text = F.concat(price, F.when(k % 3 == 0, "").when(k % 3 == 1, "000").otherwise("5"))
+    return f.table(spark, d, "orders").select("o_orderkey", C.exact_decimal(text, 2).alias("price"))
+
+
+@query(f"SELECT o_orderkey, sha256('5:sales4:main5:order' || {_len('o_orderkey')}) AS artifact_id FROM orders")
+def artifact_ids(spark, d):
+    return f.table(spark, d, "orders").select("o_orderkey", C.digest(F.lit("sales"), F.lit("main"), F.lit("order"), F.col("o_orderkey")).alias("artifact_id"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_len('l_orderkey')} || {_len('l_linenumber')} AS key FROM lineitem")
+def composite_keys(spark, d):
+    return f.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", C.prefixed(F.col("l_orderkey"), F.col("l_linenumber")).alias("key"))
+
+
+@query(f"WITH {f.FINDINGS} SELECT stable_key, check_id, sha256(run_id || chr(31) || check_id || chr(31) || stable_key) AS evidence_id FROM before")
+def evidence_ids(spark, d):
+    found = f.findings(spark, d, "before")
+    return found.select("stable_key", "check_id", C.evidence_id(F.col("run_id"), F.col("check_id"), F.col("stable_key")).alias("evidence_id"))
+
+
+@query(f"WITH {_DOCUMENTS} SELECT de.doc_id, CASE WHEN de.doc_id % 13 = 0 THEN FALSE ELSE coalesce(lower(de.hash) = lower(da0.hash), FALSE) END AS same FROM de JOIN da0 USING (doc_id)")
+def digest_equality(spark, d):
+    ctx = _documents(spark, d)
+    e = ctx.expected["documents"].select("doc_id", F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.col("hash")).alias("e"))
+    return e.join(ctx.actual["documents"].distinct().select("doc_id", F.col("hash").alias("a")), "doc_id").select("doc_id", C.same_digest(F.col("e"), F.col("a")).alias("same"))
+
+
+@query("SELECT doc_id, source = 'src1' AS in_folder, lang = 'en' AS in_any, doc_id BETWEEN 10 AND 99 AS two_digits FROM documents")
+def glob_match(spark, d):
+    path = F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".txt")))
+    globs = {"in_folder": "src1/**", "in_any": "**/en/*.txt", "two_digits": "*/*/??.txt"}
+    return f.table(spark, d, "documents").select("doc_id", *[path.rlike(C.glob_regex(g)).alias(n) for n, g in globs.items()])
+
+
+@query(f"WITH {f.JOURNAL} SELECT s.source_key, count(target_key) AS n_produced, CAST(count(DISTINCT target_key) AS INTEGER) AS n_targets FROM s LEFT JOIN (SELECT * FROM j WHERE result = 'produced' UNION ALL SELECT * FROM j WHERE result = 'produced' AND edge = 'map_pending') x USING (source_key) GROUP BY 1")
+def implied_accounting(spark, d):
+    made = f.journal(spark, d).where("result = 'produced'").select("edge", "source_key", "target_key")
+    twice = made.unionByName(made.where("edge = 'map_pending'"))
+    return accounting.source_facts(f.sources(spark, d), accounting.journal_of(twice)).select("source_key", "n_produced", F.size("targets").alias("n_targets"))
+
+
+@query(f"WITH {f.ORDERS}, x AS (SELECT CASE WHEN o_orderkey % 113 <> 0 THEN o_orderkey END AS o_orderkey, o_custkey FROM a) SELECT o_orderkey, o_custkey, count(*) AS n, CASE WHEN o_orderkey IS NULL THEN 'null' ELSE 'repeated' END AS code FROM x GROUP BY 1, 2 HAVING count(*) > 1 OR o_orderkey IS NULL")
+def identity_faults(spark, d):
+    a = f.actual_orders(spark, d).withColumn("o_orderkey", F.when(F.col("o_orderkey") % 113 != 0, F.col("o_orderkey")))
+    return readers.bad_keys(a, ["o_orderkey", "o_custkey"])
+
+
+@query(f"WITH {f.ORDERS} SELECT 'status' AS check_id, 'sha256:' || sha256(e.o_orderstatus) AS expected, 'sha256:' || sha256(a.o_orderstatus) AS actual FROM e JOIN a USING (o_orderkey) JOIN once USING (o_orderkey) WHERE e.o_orderstatus <> a.o_orderstatus")
+def findings_redacted(spark, d):
+    e, a = sides(spark, d)
+    found = verify(Context({"orders": e}, {"orders": a}, redact=True), [Check("status", "values", {"dataset": "orders", "keys": KEY, "fields": ["o_orderstatus"]})])
+    return found.where("code = 'value'").select("check_id", "expected", "actual")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
