@@ -208,3 +208,15 @@ def test_checks_on_repeats_maps_and_redaction(spark):
     assert codes("event_positions", owner="owner", order=["at"], date="at", code="status") == ["code", "code", "date", "date", "extra", "missing"]
     raw, hidden = found("values", keys=["id"], fields=["status"]), found("values", True, keys=["id"], fields=["status"])
     assert {x[3] for x in raw} == {"active"} and all(x[2].startswith("sha256:") and x[3].startswith("sha256:") for x in hidden)
+
+
+def test_numbers_of_a_large_group(spark):
+    rows = [("c", None if i % 3 else "d", f"{i * 7919 % 1000:03d}-{i}") for i in range(300)] + [("c", "d", None), ("c", "d", "")]
+    df = spark.createDataFrame(rows, "check_id string, dataset string, stable_key string")
+    for prefix in (1, 4):
+        got = runs._numbered(df, ["check_id", "dataset"], "stable_key", prefix).collect()
+        for d in (None, "d"):
+            mine = sorted((r for r in got if r.dataset == d), key=lambda r: r.rn)
+            assert [r.rn for r in mine] == list(range(1, len(mine) + 1))
+            keys = [r.stable_key for r in mine]
+            assert keys == sorted((k for _, x, k in rows if x == d), key=lambda k: (k is not None, k or ""))

@@ -9,6 +9,24 @@ from tidemark.functions.columns import percentage
 from tidemark.schema import FAILING
 
 
+def _numbered(df: DataFrame, keys: list[str], order: str, prefix: int = 4) -> DataFrame:
+    """df with rn, the number of a row of its keys in the order of a text column.
+
+    Rows are counted by the text's first characters, which keep its order, and numbered within them,
+    so that a group of any size spreads over tasks.
+    """
+    cut = df.withColumn("_part", F.substring(order, 1, prefix))
+    parts = [*keys, "_part"]
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select(*[F.col(c).alias(f"_{c}") for c in parts], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = cut.withColumn("rn", F.row_number().over(Window.partitionBy(*parts).orderBy(order)))
+    same = F.lit(True)
+    for c in parts:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return within.join(offsets, same).select(*df.columns, (F.col("rn") + F.col("_before")).alias("rn"))
+
+
 def run_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """Finding changes between two runs: check_id, dataset, stable_key, change (persisting, changed, resolved, added).
 
@@ -21,8 +39,8 @@ def run_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     same = [*exact, "rn"]
     kept = b.join(a, same, "left_semi").select(*exact, F.lit("persisting").alias("change"))
     loose = ["check_id", "code", "dataset"]
-    left = number(b.join(a, same, "left_anti").drop("rn"), loose, ["stable_key"]).withColumnRenamed("stable_key", "was")
-    new = number(a.join(b, same, "left_anti").drop("rn"), loose, ["stable_key"])
+    left = _numbered(b.join(a, same, "left_anti").drop("rn"), loose, "stable_key").withColumnRenamed("stable_key", "was")
+    new = _numbered(a.join(b, same, "left_anti").drop("rn"), loose, "stable_key")
     rest = left.join(new, [*loose, "rn"], "full_outer")
     change = F.when(F.col("was").isNull(), "added").when(F.col("stable_key").isNull(), "resolved").otherwise("changed")
     return kept.unionByName(rest.select(*loose, F.coalesce("stable_key", "was").alias("stable_key"), change.alias("change")))
