@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, license_scan, line_dedup, mixing, quality_rules, secrets, simhash, suffix_dedup, suffix_tree_lm, toxicity
+from tidemark.llm import decontaminate, exact_dedup, fill_middle, license_scan, line_dedup, merkle, mixing, quality_rules, secrets, simhash, suffix_dedup, suffix_tree_lm, toxicity
 
 
 def queries():
@@ -17,8 +17,11 @@ def queries():
         "op8_source_mix": mixing.query,
         "op9_secret_scan": secrets.query,
         "op10_toxicity": toxicity.query,
+        "op11_exact_dedup": exact_dedup.query,
+        "op12_fill_middle": fill_middle.query,
+        "op13_merkle_manifest": merkle.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mix": mixing.ORACLE_SQL}
+    return {"op8_source_mix": mixing.ORACLE_SQL, "op11_exact_dedup": exact_dedup.ORACLE_SQL, "op12_fill_middle": fill_middle.ORACLE_SQL}

@@ -54,3 +54,9 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder's path below the shared checkpoint folder, for tables that a job writes and reads again."""
     checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that a job has made for itself below the shared checkpoint folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
