@@ -21,7 +21,8 @@ with the same last ROOT bytes, so it settles there which of them are states.
 Defined results: a null or empty text has one token, the end; a null id counts
 as the empty string; without training texts no token is known and symbols are
 equally likely; repeated rows are scored row by row; an empty table gives an
-empty result; extra columns are not looked at.
+empty result; extra columns are not looked at; the rows are written once with
+their numbers, so they may come from any plan.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, text_bytes
+from tidemark.llm.common import cut, shared_folder, text_bytes
 
 DEPTH = 5
 #: Contexts up to so many bytes are always broadcast: at most 65,793 for 2. Longer ones share a bucket by so many last bytes.
@@ -364,17 +365,20 @@ def _met(model):
 def score(docs: DataFrame, training: Column | None = None, share: float = CONTEXT_SHARE) -> DataFrame:
     """A row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. training: the rows to learn from. share: what a context makes up to be broadcast (no matter for the result)."""
     held = held_out(F.col("doc_id")) if training is None else ~training
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # rows are numbered once and written with their numbers: behind a shuffle a second evaluation numbers them otherwise
+    at = shared_folder(docs.sparkSession)
+    docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", held.alias("held"), "text").write.parquet(at)
+    rows = docs.sparkSession.read.parquet(at)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(BUCKETS, size // BUCKET_BYTES)
-    counts = corpus_counts(docs.select("text", held.alias("held")), buckets)
+    counts = corpus_counts(rows.select("text", "held"), buckets)
     totals = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n_keys").alias("n_keys"), F.sum("total").alias("total")).collect()}
     tokens, distinct = (totals[WORDS]["total"], totals[WORDS]["n_keys"]) if totals else (0, 0)
     tree = grow(counts, totals[GRAMS]["total"] if GRAMS in totals else 0, share)
     head = counts.where(F.col("kind") == WORDS).select("keys", "counts").mapInArrow(_unpacked(WORDS, max(1, HEAD_SHARE * tokens)), "key long, n long").toArrow()
     keys, n = (head.column(c).to_numpy() for c in ("key", "n"))
     order = np.argsort(keys.view(np.uint64))
-    model = docs.sparkSession.sparkContext.broadcast((tree, keys.view(np.uint64)[order], n[order]))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", held.alias("held"), "text")
+    model = rows.sparkSession.sparkContext.broadcast((tree, keys.view(np.uint64)[order], n[order]))
     packets = rows.select("row_no", "held", "text").mapInArrow(_scored(model, buckets), _PACKET)
     known = counts.where(F.col("kind") == GRAMS).select("bucket", "kind", "keys", "counts", *[F.lit(None).cast("binary").alias(c) for c in _PACKET_NAMES[4:]])
     dealt = packets.unionByName(known).repartition("bucket", "kind").sortWithinPartitions("bucket", "kind", F.col("keys").isNull())
