@@ -6,10 +6,11 @@ aggregated or widened where the semantics ask for it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import reference_key
+from tidemark.operators.scan import numbered
 
 
 def null_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,7 +42,7 @@ def repeated(df: DataFrame, keys: list[str], least: str | None = None) -> DataFr
 
 def repeats_after_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Every row of an identity but its first, with its number (rn) in a total order."""
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("rn > 1")
+    return numbered(df, keys, order).where("rn > 1")
 
 
 def once(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,8 +76,7 @@ def compared(expected: DataFrame, actual: DataFrame, keys: list[str], fields: li
 
 def paired(expected: DataFrame, actual: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The n-th expected row of an identity beside the n-th actual one: keys, rn, e and a (structs). order must be total for a stable result."""
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    side = lambda df, name: df.select(*keys, number.alias("rn"), F.struct(*[c for c in df.columns if c not in keys]).alias(name))
+    side = lambda df, name: numbered(df, keys, order).select(*keys, "rn", F.struct(*[c for c in df.columns if c not in keys]).alias(name))
     return side(expected, "e").join(side(actual, "a"), [*keys, "rn"])
 
 

@@ -11,6 +11,7 @@ from tidemark.functions import columns as C
 from tidemark.functions.canonical import LANES, row_fingerprint, set_lanes
 from tidemark.operators import accounting, profile, reconcile, runs, timelines, totals
 from tidemark.plans import frames as f
+from tidemark.plans import stored
 from tidemark.plans.checks import CHECKS, Check, Context, verify
 from tidemark.plans.mapping import Edge, Plan, expected_state
 from tidemark.plans.scope import Predicate, Scope
@@ -711,8 +712,8 @@ def findings_redacted(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | stored.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | stored.SQL

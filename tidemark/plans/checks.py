@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import code_map, has_offset, net_holds, prefixed, redacted, same_digest
 from tidemark.operators import accounting, reconcile, timelines, totals
+from tidemark.plans import fused
 from tidemark.schema import FINDING, as_findings
+from tidemark.shared import observed
 
 CHECKS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -210,19 +212,67 @@ PACKS: dict[str, dict] = {
 }
 
 
+#: Columns of a finding before it is one.
+_FOUND = "check int, code string, key string, expected string, actual string, detail string"
+
+
+def _alone(ctx: Context, c: Check, i: int) -> DataFrame:
+    """A check's findings by its own definition."""
+    found = CHECKS[c.kind](ctx, **c.options)
+    text = lambda n: (F.col(n) if n in found.columns else F.lit(None)).cast("string").alias(n)
+    return found.select(F.lit(i).alias("check"), text("code"), text("key"), text("expected"), text("actual"), text("detail"))
+
+
+def _of_keys(df: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of df whose keys, nulls included, are among rows."""
+    same = reduce(lambda x, i: x & F.col(keys[i]).eqNullSafe(F.col(f"_key{i}")), range(len(keys)), F.lit(True))
+    return df.join(rows.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]), same, "left_semi")
+
+
 def verify(ctx: Context, checks: list[Check]) -> DataFrame:
-    """All checks' findings, with one row a check that found nothing. Frames are planned once a check; persist those that many checks read."""
-    spark = next(iter((ctx.expected | ctx.actual).values())).sparkSession
-    out = spark.createDataFrame([], FINDING)
+    """All checks' findings, with one row a check that found nothing.
+
+    Runs the checks: checks of one dataset and key share one pass over both sides (see plans.fused), all
+    others are written together in one job, and what is returned reads what was written. Each finding is
+    computed once; which checks found nothing is counted on the way. With redact, expected and actual
+    values are digests; detail only ever names a field.
+    """
     for c in checks:
         if c.kind not in CHECKS:
             raise ValueError(f"{c.check_id}: no check {c.kind!r}")
-        found = CHECKS[c.kind](ctx, **c.options)
-        col = lambda n: F.col(n) if n in found.columns else None  # noqa: B023, E731
-        dataset = c.options.get("dataset", "")
-        common = {"check_id": c.check_id, "check_type": c.kind, "dataset": dataset, "run_id": ctx.run_id, "scope": ctx.scope}
-        said = lambda n: c_ if (c_ := col(n)) is None or not ctx.redact else redacted(c_.cast("string"))  # noqa: B023, E731
-        rows = as_findings(found, code=F.col("code"), key="key", expected=said("expected"), actual=said("actual"), detail=col("detail"), severity=c.severity, **common)
-        clean = rows.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("").alias("key"))
-        out = out.unionByName(rows).unionByName(as_findings(clean, code="clean", key="key", result="pass", severity="info", **common))
-    return out
+    spark = next(iter((ctx.expected | ctx.actual).values())).sparkSession
+    counts, parts, rest, loose = dict.fromkeys(range(len(checks)), 0), [], [], []
+    groups = fused.plan_groups(checks, ctx.expected)
+    for group in groups:
+        mine = {i: checks[i] for i in group}
+        dataset = checks[group[0]].options["dataset"]
+        found, n, apart, extra = fused.answer(ctx.expected[dataset], ctx.actual[dataset], mine)
+        counts |= n
+        parts.append(found)
+        loose += extra
+        if apart is not None:  # by their own definitions, on these keys alone
+            keys = apart.columns
+            few = replace(ctx, expected={**ctx.expected, dataset: _of_keys(ctx.expected[dataset], apart, keys)}, actual={**ctx.actual, dataset: _of_keys(ctx.actual[dataset], apart, keys)})
+            rest += [_alone(few, c, i).where("code <> 'nothing_expected'") for i, c in mine.items() if c.kind in ("presence", "no_unexpected", "values")]
+    together = {i for g in groups for i in g}
+    rest += [_alone(ctx, c, i) for i, c in enumerate(checks) if i not in together]
+    if rest:
+        kept, seen = observed(reduce(DataFrame.unionByName, rest), {f"n{i}": F.count_if(F.col("check") == i) for i in counts})
+        counts = {i: n + (seen[f"n{i}"] or 0) for i, n in counts.items()}
+        parts.append(kept)
+    loose += [(i, "clean", "", None, None, None) for i, n in counts.items() if not n]
+    parts.append(spark.createDataFrame(loose, _FOUND))
+    found = reduce(DataFrame.unionByName, parts)
+    return _as_findings(spark, ctx, checks, found)
+
+
+def _as_findings(spark: SparkSession, ctx: Context, checks: list[Check], found: DataFrame) -> DataFrame:
+    """Findings of checks by their positions, in the fixed shape; one expression for all checks."""
+    if not checks:
+        return spark.createDataFrame([], FINDING)
+    clean = F.col("code") == "clean"
+    of = lambda get: F.element_at(F.array(*[F.lit(get(c)) for c in checks]), F.col("check") + 1)
+    said = lambda n: redacted(F.col(n)) if ctx.redact else F.col(n)
+    shown = found.withColumns({"check_id": of(lambda c: c.check_id), "kind": of(lambda c: c.kind), "of_dataset": of(lambda c: c.options.get("dataset", "")), "of_severity": of(lambda c: c.severity)})
+    rows = as_findings(shown, check_id=F.col("check_id"), check_type=F.col("kind"), dataset=F.col("of_dataset"), code=F.col("code"), key="key", expected=said("expected"), actual=said("actual"), detail=F.col("detail"), result=F.when(clean, "pass").otherwise("fail"), severity=F.when(clean, "info").otherwise(F.col("of_severity")), run_id=ctx.run_id, scope=ctx.scope)
+    return rows

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.canonical import set_fingerprint
 from tidemark.schema import CAPTURE
+from tidemark.shared import remove, written
+from tidemark.sources.readers import changed_files, listing
 
 
 def capture(spark: SparkSession, datasets: dict[str, DataFrame], root: str, capture_id: str, scope_id: str = "full", consistency: str = "none") -> DataFrame:
@@ -25,6 +28,29 @@ def capture(spark: SparkSession, datasets: dict[str, DataFrame], root: str, capt
     return manifest
 
 
+def capture_files(spark: SparkSession, path: str, read: Callable[[SparkSession, str], DataFrame], root: str, capture_id: str, dataset: str, scope_id: str = "full") -> DataFrame:
+    """Capture a dataset that lies in files, read by ``read(spark, path)``; returns the manifest.
+
+    The files are pinned: they are listed (path, length, time) before the read and again when all is written.
+    A difference is an error, and nothing of the capture stays.
+    """
+    before = written(listing(spark, path))
+    if before.isEmpty():
+        raise ValueError(f"{path}: no files")
+    manifest = capture(spark, {dataset: read(spark, path)}, root, capture_id, scope_id, "files pinned")
+    changed = changed_files(before, listing(spark, path)).orderBy("path").first()
+    if changed:
+        remove(spark, f"{root}/{capture_id}")
+        raise ValueError(f"{changed['path']}: changed while it was read")
+    before.orderBy("path").coalesce(1).write.mode("errorifexists").parquet(f"{root}/{capture_id}/_files-{dataset}.parquet")
+    return manifest
+
+
+def changed_since(spark: SparkSession, path: str, root: str, capture_id: str, dataset: str) -> DataFrame:
+    """Files that came, went or changed since a capture of them."""
+    return changed_files(spark.read.parquet(f"{root}/{capture_id}/_files-{dataset}.parquet"), listing(spark, path))
+
+
 def replay(spark: SparkSession, root: str, capture_id: str, dataset: str) -> DataFrame:
     """A captured dataset, after its fingerprint was found to be that of the manifest."""
     row = spark.read.parquet(f"{root}/{capture_id}/_manifest.parquet").where(F.col("dataset") == dataset).first()

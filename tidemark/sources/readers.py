@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import declared, glob_regex
+from tidemark.sources import strict_json
 
 #: JDBC driver and catalog query of each database.
 DIALECTS = {
@@ -69,14 +73,17 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multiline: bool = F
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False, rejects: bool = False) -> DataFrame:
-    """A JSON array, or with lines one object a line. rejects: bad rows come back in _corrupt_record instead of failing."""
-    reader = spark.read.option("multiLine", not lines).option("mode", "PERMISSIVE" if rejects else "FAILFAST")
-    if schema:
-        reader = reader.schema(schema + (", _corrupt_record string" if rejects else ""))
-    return reader.json(path)
+    """A JSON array a file, or with lines one object a line. rejects: bad rows come back in _corrupt_record instead of failing.
 
+    With a schema the reading is strict (see strict_json): a repeated property, a value of another type and a number that
+    loses digits are bad rows, and its types are exact ones. Without one Spark infers it, and the last of repeated properties wins.
+    """
+    if schema is None:
+        return spark.read.option("multiLine", not lines).option("mode", "PERMISSIVE" if rejects else "FAILFAST").json(path)
+    return strict_json.typed_records(spark, path, T.StructType.fromDDL(schema), lines, rejects)
 
-def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str | None = None) -> DataFrame:
+
+def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str | T.StructType | None = None) -> DataFrame:
     reader = spark.read.option("rowTag", row_tag).option("mode", "FAILFAST")
     return (reader.schema(schema) if schema else reader).xml(path)
 
@@ -130,7 +137,62 @@ def guard_flat(schema: T.StructType, precision: int = 28, doubles: bool = False)
             raise TypeError(f"{f.name}: {f.dataType.simpleString()} is not an exact flat type")
 
 
+#: Stores whose files a task's Python can open by ranges.
+RANGED = ("file", "hdfs", "s3", "s3a", "gs", "abfss")
+
+
+def parquet_footers(spark: SparkSession, path: str, files_a_task: int = 256) -> DataFrame:
+    """A row a column and file, from the files' footers alone: file, column, physical, logical, repetition.
+
+    Files are listed by Spark and their footers read in tasks, by ranges; of the data nothing is read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").where(~F.col("path").rlike(r"/[_.][^/]*$"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for file in batch.column("path").to_pylist():
+                uri = re.sub("^s3a:", "s3:", file)
+                store, at = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+                with store.open_input_file(at) as f:
+                    columns = pq.ParquetFile(f).schema
+                seen = [columns.column(i) for i in range(len(columns.names))]
+                rows = {
+                    "file": [file] * len(seen), "column": [c.path for c in seen], "physical": [c.physical_type for c in seen], "logical": [str(c.logical_type) for c in seen],
+                    "repetition": ["repeated" if c.max_repetition_level else "nested" if "." in c.path else "optional" if c.max_definition_level else "required" for c in seen],
+                }
+                yield pa.RecordBatch.from_pydict(rows)
+
+    n = files.count() // files_a_task + 1
+    return files.repartition(n).mapInArrow(read, "file string, column string, physical string, logical string, repetition string")
+
+
+def guard_footers(spark: SparkSession, path: str) -> None:
+    """INT96 columns, times of day and nanoseconds in any of the files are errors before any row is read.
+
+    In a store that only Spark opens, the files' schemas as Spark sees them decide; there an INT96 column that
+    Spark itself wrote can't be told from a timestamp.
+    """
+    scheme = path.partition("://")[0] if "://" in path else "file"
+    if scheme in RANGED:
+        bad = F.when(F.col("physical") == "INT96", "INT96").when(F.lower("logical").startswith("time("), "time of day").when(F.lower("logical").contains("nanoseconds"), "nanoseconds")
+        found = parquet_footers(spark, path).withColumn("why", bad).where("why IS NOT NULL").orderBy("file", "column").first()
+        if found:
+            raise TypeError(f"{found['file']}: {found['column']}: {found['why']} is not an exact type")
+        return
+    was = spark.conf.get("spark.sql.parquet.int96AsTimestamp")
+    try:
+        spark.conf.set("spark.sql.parquet.int96AsTimestamp", "false")
+        _ = spark.read.option("mergeSchema", True).parquet(path).schema
+    finally:
+        spark.conf.set("spark.sql.parquet.int96AsTimestamp", was)
+
+
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, doubles: bool = False) -> DataFrame:
+    """Parquet files of exact, flat types; the footers of all files are looked at first."""
+    guard_footers(spark, path)
     df = spark.read.parquet(path)
     df = pick(df, columns) if columns else df
     guard_flat(df.schema, doubles=doubles)
