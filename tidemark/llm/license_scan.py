@@ -6,11 +6,14 @@ k + 1 pieces, at least one piece of any such occurrence is unchanged
 of all notices finds every candidate place. Each candidate is verified on its
 own by the regex library's fuzzy matching, best match within the stretch that
 the piece allows; of overlapping places of a notice the one with fewest edits
-stays, of equal ones the first. The words that tell one license from another
-(KEYS) are no room for errors: short ones and numbers must stand there as they
-are, longer ones with one edit at most.
-
-Defined results: a null text counts as empty; a text without words has no
+stays, of equal ones the first. The words that make a notice what it is (KEYS)
+are no room for errors: short ones and numbers must stand there as they are,
+longer ones with one edit at most. Nor is a negation (NEGATIONS): a place with
+one that the notice itself doesn't have says something else.
+
+Defined results: a null text counts as empty; an empty table gives an empty
+result; texts of any length are searched whole, in time linear in their length
+but for their candidate places; a text without words has no
 places, null first and last words, empty labels and score 0; ids are carried
 as they are, null and repeated ones included; extra columns are not looked at.
 """
@@ -47,16 +50,23 @@ NOTICES = {
     "licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa",
     "to the extent possible under law the author has waived all copyright": "cc0",
 }
-# The words of a notice that other licenses do not share, in their order.
+# The words of a notice that other licenses do not share or that carry what it grants, in their order.
 KEYS = {
     "licensed under the mit license": ("mit",),
+    "permission is hereby granted free of charge to any person obtaining a copy": ("permission", "granted", "charge", "obtaining"),
     "licensed under the apache license version 2 0": ("apache", "2"),
     "licensed under cc by nc 4 0": ("cc", "by", "nc", "4"),
     "this work is licensed under the gnu general public license version 3": ("gnu", "general", "3"),
     "gnu lesser general public license as published by the free software foundation": ("gnu", "lesser", "general"),
+    "redistribution and use in source and binary forms with or without modification are permitted": ("redistribution", "binary", "modification", "permitted"),
     "subject to the terms of the mozilla public license v 2 0": ("mozilla", "2"),
+    "permission to use copy modify and or distribute this software for any purpose": ("permission", "modify", "distribute", "purpose"),
+    "this is free and unencumbered software released into the public domain": ("unencumbered", "released", "public", "domain"),
     "licensed under a creative commons attribution sharealike 4 0 international license": ("creative", "commons", "attribution", "sharealike", "4"),
+    "to the extent possible under law the author has waived all copyright": ("extent", "author", "waived", "copyright"),
 }
+# Words that turn a notice round.
+NEGATIONS = frozenset(("not", "no", "never", "nor", "neither", "cannot", "except", "isn", "aren", "hasn", "doesn", "don"))
 #: Key words up to this length have to match exactly.
 SHORT = 4
 #: One edit is allowed for so many characters of a notice.
@@ -70,20 +80,30 @@ def normal(text: str | None) -> str:
 
 
 @cache
-def _search(every: int = ERROR_EVERY):
-    """The automaton over all pieces, and each notice's length, edits, label, pattern and the patterns of its keys."""
-    automaton, notices, pieces = ahocorasick.Automaton(), [], {}
-    for words, label in NOTICES.items():
+def _search(notices: tuple[tuple[str, str, tuple[str, ...]], ...], every: int = ERROR_EVERY):
+    """The automaton over all pieces, and each notice's length, edits, label, pattern, the patterns of its keys, and its negations. notices: words, label, keys."""
+    automaton, known, pieces = ahocorasick.Automaton(), [], {}
+    for words, label, keys in notices:
         k = max(1, len(words) // every)
         cuts = [len(words) * i // (k + 1) for i in range(k + 2)]
         for a, b in zip(cuts, cuts[1:]):
-            pieces.setdefault(words[a:b], []).append((len(notices), a, b - a))
-        keys = [regex.compile(rf"\b{w}\b" if len(w) <= SHORT else rf"(?b)\b(?:{w}){{e<=1}}\b") for w in KEYS.get(words, ())]
-        notices.append((len(words), k, label, regex.compile(f"(?b)(?:{regex.escape(words, literal_spaces=True)}){{e<={k}}}"), keys))
+            pieces.setdefault(words[a:b], []).append((len(known), a, b - a))
+        patterns = [regex.compile(rf"\b{w}\b" if len(w) <= SHORT else rf"(?b)\b(?:{w}){{e<=1}}\b") for w in keys]
+        known.append((len(words), k, label, regex.compile(f"(?b)(?:{regex.escape(words, literal_spaces=True)}){{e<={k}}}"), patterns, sum(w in NEGATIONS for w in words.split())))
     for piece, places in pieces.items():
         automaton.add_word(piece, places)
     automaton.make_automaton()
-    return automaton, notices
+    return automaton, known
+
+
+def _listed(notices: dict[str, str] | None, keys: dict[str, tuple[str, ...]] | None) -> tuple[tuple[str, str, tuple[str, ...]], ...]:
+    """Notices in normalised words, with their labels and keys; the built-in ones by default."""
+    if notices is None:
+        notices, keys = NOTICES, KEYS if keys is None else keys
+    out = tuple((normal(words), label, tuple(map(normal, (keys or {}).get(words, ())))) for words, label in notices.items())
+    if lost := [w for w, _, k in out if not w or any(x not in w.split() for x in k)]:
+        raise ValueError(f"a notice has no words, or keys that it doesn't hold: {lost[0]!r}")
+    return out
 
 
 def _holds(words: str, start: int, end: int, keys: list) -> bool:
@@ -96,9 +116,9 @@ def _holds(words: str, start: int, end: int, keys: list) -> bool:
     return True
 
 
-def fuzzy_notices(words: str, gaps: list[int] | None = None) -> list[tuple[str, int, int, int, int]]:
+def fuzzy_notices(words: str, gaps: list[int] | None = None, listed: tuple = _listed(None, None)) -> list[tuple[str, int, int, int, int]]:
     """(label, first word, last word, edits, characters) of the notices in normalised text, in order; of overlapping places of a notice the best. gaps: where the spaces are."""
-    automaton, notices = _search()
+    automaton, notices = _search(listed)
     windows: dict[int, set[int]] = {}
     for end, places in automaton.iter(words):
         for no, offset, size in places:
@@ -108,7 +128,7 @@ def fuzzy_notices(words: str, gaps: list[int] | None = None) -> list[tuple[str,
     gaps = [m.start() for m in regex.finditer(" ", words)] if gaps is None else gaps
     found = set()
     for no, starts in windows.items():
-        length, k, label, pattern, keys = notices[no]
+        length, k, label, pattern, keys, negations = notices[no]
         places = set()
         for at in starts:
             m = pattern.search(words, max(0, at - k), min(len(words), at + length + k))
@@ -117,7 +137,7 @@ def fuzzy_notices(words: str, gaps: list[int] | None = None) -> list[tuple[str,
                 s, e = s + len(m[0]) - len(m[0].lstrip()), e - (len(m[0]) - len(m[0].rstrip()))
                 first, last = bisect_left(gaps, s + 1), bisect_left(gaps, e)
                 whole = (gaps[first - 1] + 1 if first else 0), (gaps[last] if last < len(gaps) else len(words))
-                if s < e and _holds(words, *whole, keys):
+                if s < e and _holds(words, *whole, keys) and sum(w in NEGATIONS for w in words[slice(*whole)].split()) <= negations:
                     places.add((sum(m.fuzzy_counts), s, e, first, last))
         taken: list[tuple[int, int]] = []  # apart from each other, in order
         for edits, s, e, first, last in sorted(places):
@@ -140,9 +160,9 @@ def exact_phrases(words: str, gaps: list[int] | None = None) -> list[tuple[str,
     return places
 
 
-def scan_text(text: str | None) -> tuple:
+def scan_text(text: str | None, listed: tuple = _listed(None, None)) -> tuple:
     words = normal(text)
-    base, more = exact_phrases(words), fuzzy_notices(words)
+    base, more = exact_phrases(words), fuzzy_notices(words, listed=listed)
     labels = {x[0] for x in base}
     starts = [x[1] for x in base]
     score = 1.0 if base else max((1 - x[3] / max(x[4], 1) for x in more), default=0.0)
@@ -158,12 +178,16 @@ _NAMES = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels
 _TYPES = (*[pa.int64()] * 4, pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int64())])))
 
 
-def licenses(docs: DataFrame) -> DataFrame:
-    """A row a document: doc_id, the counts, labels and score, and the notices with spans (in words) and edits."""
+def licenses(docs: DataFrame, notices: dict[str, str] | None = None, keys: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """A row a document: doc_id, the counts, labels and score, and the notices with spans (in words) and edits.
+
+    notices: words and label of what is searched for with errors (NOTICES by default); keys: words of a notice that have to be there.
+    """
+    listed = _listed(notices, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [scan_text(t.as_py()) for t in batch.column("text")]
+            rows = [scan_text(t.as_py(), listed) for t in batch.column("text")]
             columns = list(zip(*rows)) or [()] * len(_NAMES)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), t) for c, t in zip(columns, _TYPES))], names=["doc_id", *_NAMES])
 
