@@ -9,7 +9,10 @@ does not depend on order or partitioning and is merged map-side: eight sums of
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,3 +64,23 @@ def set_fingerprint(df: DataFrame, name: str = "", columns: list[str] | None = N
     row = set_lanes(df, columns).first()
     total = sum(int(row[f"lane{i}"]) << 32 * (LANES - 1 - i) for i in range(LANES)) % (1 << 256)
     return hashlib.sha256(f"{name}\x1f{row['n_rows']}\x1f{total:064x}".encode()).hexdigest()
+
+
+def composed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with the named texts in normal form C, so that composed and decomposed characters get one fingerprint.
+
+    Spark has no function for it. Rows whose texts hold nothing beyond U+02FF are in that form already and
+    stay in the JVM; only the others are sent to a Python worker.
+    """
+    done = F.lit(True)
+    for c in columns:
+        done = done & F.coalesce(F.col(c).rlike(r"^[\x{0}-\x{2FF}]*$"), F.lit(True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in columns:
+                i = batch.schema.get_field_index(c)
+                batch = batch.set_column(i, batch.schema.field(i), pc.utf8_normalize(batch.column(i), "NFC"))
+            yield batch
+
+    return df.where(done).unionByName(df.where(~done).mapInArrow(run, df.schema))

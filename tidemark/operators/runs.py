@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import percentage
+from tidemark.functions.canonical import LANES, row_fingerprint
+from tidemark.functions.columns import digest, percentage
 from tidemark.schema import FAILING
 
 
@@ -46,6 +49,21 @@ def run_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return kept.unionByName(rest.select(*loose, F.coalesce("stable_key", "was").alias("stable_key"), change.alias("change")))
 
 
+def input_buckets(df: DataFrame, keys: list[str], columns: list[str] | None = None, digits: int = 2) -> DataFrame:
+    """The fingerprint of a run's input in pieces: bucket (the first digits of its key's digest), n, and the digest of its rows as a bag. Sums, combined before they are sent."""
+    hashed = df.select(F.substring(digest(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]), 1, digits).alias("bucket"), row_fingerprint(df, columns).alias("h"))
+    lanes = [F.sum(F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").alias(f"lane{i}") for i in range(LANES)]
+    return hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *lanes).select("bucket", "n", F.concat_ws(":", *[f"lane{i}" for i in range(LANES)]).alias("digest"))
+
+
+def changed_inputs(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
+    """Where the inputs of two runs (input_buckets by dataset) differ: dataset, bucket, n_before, n_after, change (added, removed, changed)."""
+    side = lambda run, s: reduce(DataFrame.unionByName, [b.select(F.lit(name).alias("dataset"), "bucket", F.col("n").alias(f"n_{s}"), F.col("digest").alias(f"_{s}")) for name, b in run.items()])
+    both = side(before, "before").join(side(after, "after"), ["dataset", "bucket"], "full_outer").where(~F.col("_before").eqNullSafe(F.col("_after")))
+    change = F.when(F.col("_before").isNull(), "added").when(F.col("_after").isNull(), "removed").otherwise("changed")
+    return both.select("dataset", "bucket", F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_after", F.lit(0)).alias("n_after"), change.alias("change"))
+
+
 def delta_summary(delta: DataFrame) -> DataFrame:
     """One row: n_persisting, n_changed, n_resolved, n_added, equivalent."""
     kinds = ("persisting", "changed", "resolved", "added")

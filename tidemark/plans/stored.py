@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import ordered
+from tidemark.functions.canonical import composed
 from tidemark.functions.columns import as_text
-from tidemark.operators import mergeable
+from tidemark.operators import mergeable, runs
 from tidemark.plans import frames as f
 from tidemark.shared import shared_folder
 from tidemark.sources import capture, evidence, payload_sink, readers, strict_json
@@ -188,6 +189,33 @@ def divergent_ranges(spark, d):
     return ordered.divergent_ranges(df, after, ["o_orderkey"], ["o_orderstatus"])
 
 
+_ROWS = "sha256('10:o_orderkey' || octet_length(encode(k)) || ':' || k || '13:o_orderstatus' || octet_length(encode(s)) || ':' || s)"
+
+
+def _buckets(e: str) -> str:
+    lanes = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS DECIMAL(38,0)) AS l{i}" for i in range(8))
+    return f"(SELECT b, count(*) AS n, {lanes} FROM (SELECT substr(sha256(length(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey), 1, 3) AS b, {_ROWS} AS h FROM (SELECT o_orderkey, 'integer:' || o_orderkey AS k, 'string:' || o_orderstatus AS s FROM {e})) GROUP BY 1)"
+
+
+@query(f"SELECT 'orders' AS dataset, x.b AS bucket, x.n AS n_before, coalesce(y.n, 0) AS n_after, CASE WHEN y.b IS NULL THEN 'removed' ELSE 'changed' END AS change FROM {_buckets('orders')} x LEFT JOIN {_buckets(_CHANGED)} y ON x.b = y.b WHERE y.b IS NULL OR " + " OR ".join(f"x.l{i} <> y.l{i}" for i in range(8)))
+def changed_inputs(spark, d):
+    """The parts of orders that two runs did not read alike."""
+    df, k = f.table(spark, d, "orders"), F.col("o_orderkey")
+    after = df.where(k % 7919 != 0).withColumn("o_orderstatus", F.when(k % 9973 == 0, "X").otherwise(F.col("o_orderstatus")))
+    buckets = lambda x: {"orders": runs.input_buckets(x, ["o_orderkey"], ["o_orderkey", "o_orderstatus"], digits=3)}
+    return runs.changed_inputs(buckets(df), buckets(after))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def composed_texts(spark, d):
+    """Documents in which every é, ü and ñ was decomposed have the digest of those in which it was not."""
+    text = F.col("text")
+    for one, two in (("é", "e\u0301"), ("ü", "u\u0308"), ("ñ", "n\u0303")):
+        text = F.replace(text, F.lit(one), F.lit(two))
+    docs = f.table(spark, d, "documents").select("doc_id", text.alias("text"))
+    return composed(docs, ["text"]).select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
 def _bins(t: str) -> str:
     return f"(SELECT o_custkey, b, count(*) AS n FROM (SELECT o_custkey, least(7, greatest(0, CAST(floor(price / 60000) AS INTEGER))) AS b FROM {t}) GROUP BY 1, 2)"
 

@@ -22,6 +22,23 @@ DIALECTS = {
     "db2": ("com.ibm.db2.jcc.DB2Driver", "SELECT tabschema AS table_schema, tabname AS table_name, colname AS column_name, typename AS data_type, nulls AS is_nullable, colno AS ordinal_position FROM syscat.columns"),
 }
 
+_KEYS = "SELECT k.table_schema, k.table_name, k.constraint_name, c.constraint_type AS kind, k.column_name, k.ordinal_position, u.table_schema AS to_schema, u.table_name AS to_table, u.column_name AS to_column FROM information_schema.key_column_usage k JOIN information_schema.table_constraints c ON c.constraint_schema = k.constraint_schema AND c.constraint_name = k.constraint_name LEFT JOIN information_schema.referential_constraints r ON r.constraint_schema = k.constraint_schema AND r.constraint_name = k.constraint_name LEFT JOIN information_schema.key_column_usage u ON u.constraint_schema = r.unique_constraint_schema AND u.constraint_name = r.unique_constraint_name AND u.ordinal_position = k.ordinal_position WHERE c.constraint_type IN ('PRIMARY KEY', 'FOREIGN KEY')"
+#: Catalog query of each database for primary and foreign keys, a row a column.
+KEYS = {
+    "sqlserver": _KEYS,
+    "postgresql": _KEYS,
+    "oracle": "SELECT c.owner AS table_schema, c.table_name, c.constraint_name, CASE c.constraint_type WHEN 'P' THEN 'PRIMARY KEY' ELSE 'FOREIGN KEY' END AS kind, k.column_name, k.position AS ordinal_position, u.owner AS to_schema, u.table_name AS to_table, u.column_name AS to_column FROM all_constraints c JOIN all_cons_columns k ON k.owner = c.owner AND k.constraint_name = c.constraint_name LEFT JOIN all_cons_columns u ON u.owner = c.r_owner AND u.constraint_name = c.r_constraint_name AND u.position = k.position WHERE c.constraint_type IN ('P', 'R')",
+    "db2": "SELECT c.tabschema AS table_schema, c.tabname AS table_name, c.constname AS constraint_name, CASE c.type WHEN 'P' THEN 'PRIMARY KEY' ELSE 'FOREIGN KEY' END AS kind, k.colname AS column_name, k.colseq AS ordinal_position, r.reftabschema AS to_schema, r.reftabname AS to_table, u.colname AS to_column FROM syscat.tabconst c JOIN syscat.keycoluse k ON k.tabschema = c.tabschema AND k.tabname = c.tabname AND k.constname = c.constname LEFT JOIN syscat.references r ON r.tabschema = c.tabschema AND r.tabname = c.tabname AND r.constname = c.constname LEFT JOIN syscat.keycoluse u ON u.tabschema = r.reftabschema AND u.tabname = r.reftabname AND u.constname = r.refkeyname AND u.colseq = k.colseq WHERE c.type IN ('P', 'F')",
+}
+
+#: Catalog query of each database for the rows that it takes a table to have.
+ESTIMATES = {
+    "sqlserver": "SELECT s.name AS table_schema, t.name AS table_name, SUM(p.row_count) AS n_rows FROM sys.tables t JOIN sys.schemas s ON s.schema_id = t.schema_id JOIN sys.dm_db_partition_stats p ON p.object_id = t.object_id WHERE p.index_id IN (0, 1) GROUP BY s.name, t.name",
+    "postgresql": "SELECT n.nspname AS table_schema, c.relname AS table_name, CAST(c.reltuples AS BIGINT) AS n_rows FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace WHERE c.relkind IN ('r', 'p')",
+    "oracle": "SELECT owner AS table_schema, table_name, num_rows AS n_rows FROM all_tables",
+    "db2": "SELECT tabschema AS table_schema, tabname AS table_name, card AS n_rows FROM syscat.tables WHERE type = 'T'",
+}
+
 #: What a session says first, so that its reads repeat.
 REPEATABLE = {
     "sqlserver": "SET TRANSACTION ISOLATION LEVEL REPEATABLE READ",
@@ -54,6 +71,30 @@ def read_catalog(spark: SparkSession, dialect: str, url: str, **properties: str)
     return spark.read.format("jdbc").options(url=url, query=DIALECTS[dialect][1], driver=DIALECTS[dialect][0], **properties).load()
 
 
+def _asked(spark: SparkSession, dialect: str, url: str, query: str, properties: dict[str, str]) -> DataFrame:
+    return spark.read.format("jdbc").options(url=url, query=query, driver=DIALECTS[dialect][0], **properties).load()
+
+
+def keys_of(columns: DataFrame) -> DataFrame:
+    """Key columns as a catalog lists them, a row a key: table_schema, table_name, constraint_name, kind (primary, foreign), columns, to_schema, to_table, to_columns (in the key's order)."""
+    lower = columns.withColumnsRenamed({c: c.lower() for c in columns.columns})
+    parts = F.array_sort(F.collect_list(F.struct(F.col("ordinal_position").cast("int").alias("no"), "column_name", "to_column")))
+    grouped = lower.groupBy("table_schema", "table_name", "constraint_name", "kind", "to_schema", "to_table").agg(parts.alias("p"))
+    return grouped.select("table_schema", "table_name", "constraint_name", F.when(F.col("kind") == "PRIMARY KEY", "primary").otherwise("foreign").alias("kind"), F.col("p.column_name").alias("columns"), "to_schema", "to_table", F.array_compact("p.to_column").alias("to_columns"))
+
+
+def read_keys(spark: SparkSession, dialect: str, url: str, **properties: str) -> DataFrame:
+    """Primary and foreign keys of all tables, as keys_of gives them."""
+    return keys_of(_asked(spark, dialect, url, KEYS[dialect], properties))
+
+
+def read_estimates(spark: SparkSession, dialect: str, url: str, **properties: str) -> DataFrame:
+    """table_schema, table_name and n_rows as the database estimates them; null where it doesn't."""
+    found = _asked(spark, dialect, url, ESTIMATES[dialect], properties)
+    named = found.withColumnsRenamed({c: c.lower() for c in found.columns})
+    return named.select("table_schema", "table_name", F.when(F.col("n_rows") >= 0, F.col("n_rows").cast("long")).alias("n_rows"))
+
+
 def pick(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
     """The named columns and the keys; Catalyst prunes the scan. An unknown one is an error."""
     wanted = list(dict.fromkeys([*keys, *columns]))
