@@ -1,6 +1,7 @@
 """Checks that are answered in one pass against their own definitions."""
 
 import random
+from dataclasses import replace
 from decimal import Decimal
 
 import pytest
@@ -8,6 +9,7 @@ import pytest
 from tidemark.plans import checks as module
 from tidemark.plans import fused
 from tidemark.plans.checks import Check, Context, verify
+from tidemark.plans.scope import Predicate, Scope
 
 SCHEMA = "id long, part string, name string, code string, pay decimal(12,2)"
 COMMON = {"dataset": "p", "keys": ["id", "part"]}
@@ -41,6 +43,19 @@ def test_equals_each_check_alone(spark, monkeypatch, seed, n):
         monkeypatch.undo()
 
 
+def test_only_a_part(spark, monkeypatch):
+    """Checks of parts: in one pass or alone, findings are those of the cut frames and carry the part's name."""
+    e, a = frames(spark, 5, 80)
+    part = Scope("x", (Predicate("equals", "part", ("x",)),))
+    mine = [*CHECKS[:3], *(replace(c, check_id=c.check_id + "_x", only=part) for c in CHECKS)]
+    assert fused.plan_groups(mine, {"p": e}) == [[0, 1, 2], [3, 4, 5, 6, 7, 8]]
+    rows = verify(Context({"p": e}, {"p": a}), mine)
+    got, alone = bag(rows), verify(Context({"p": e.where("part = 'x'")}, {"p": a.where("part = 'x'")}), CHECKS)
+    assert sorted(map(str, rows.where("scope = 'x'").select("code", "expected", "actual", "detail").collect())) == sorted(map(str, alone.select("code", "expected", "actual", "detail").collect()))
+    monkeypatch.setattr(fused, "plan_groups", lambda checks, expected: [])
+    assert bag(verify(Context({"p": e}, {"p": a}), mine)) == got
+
+
 def test_groups(spark):
     e, _ = frames(spark, 1, 4)
     assert fused.plan_groups(CHECKS, {"p": e}) == [[0, 1, 2, 3, 4, 5]]

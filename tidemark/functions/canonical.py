@@ -9,10 +9,10 @@ does not depend on order or partitioning and is merged map-side: eight sums of
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,7 +80,8 @@ def composed(df: DataFrame, columns: list[str]) -> DataFrame:
         for batch in batches:
             for c in columns:
                 i = batch.schema.get_field_index(c)
-                batch = batch.set_column(i, batch.schema.field(i), pc.utf8_normalize(batch.column(i), "NFC"))
+                texts = [None if t is None else unicodedata.normalize("NFC", t) for t in batch.column(i).to_pylist()]
+                batch = batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
             yield batch
 
     return df.where(done).unionByName(df.where(~done).mapInArrow(run, df.schema))

@@ -711,6 +711,21 @@ def findings_redacted(spark, d):
     return found.where("code = 'value'").select("check_id", "expected", "actual")
 
 
+@query(f"""WITH {f.ORDERS}, eu AS (SELECT * FROM e WHERE o_orderpriority = '1-URGENT'), au AS (SELECT * FROM a WHERE o_orderpriority = '1-URGENT')
+SELECT 'there' AS check_id, 'urgent' AS scope, {_len('o_orderkey')} AS key, 'missing' AS code FROM eu WHERE o_orderkey NOT IN (SELECT o_orderkey FROM au)
+UNION ALL SELECT 'once', 'urgent', {_len('o_orderkey')}, 'repeated' FROM au GROUP BY o_orderkey HAVING count(*) > 1 UNION ALL SELECT 'explained', 'full', {_len('o_orderkey')}, 'unexpected' FROM a WHERE o_orderkey NOT IN (SELECT o_orderkey FROM e)""")
+def scoped_checks(spark, d):
+    """Two checks of a part of orders, and one of all of them."""
+    e, a = sides(spark, d)
+    urgent, common = Scope("urgent", (Predicate("equals", "o_orderpriority", ("1-URGENT",)),)), {"dataset": "orders", "keys": KEY}
+    checks = [Check("there", "presence", common, only=urgent), Check("once", "uniqueness", common, only=urgent), Check("explained", "no_unexpected", common)]
+    found = verify(Context({"orders": e}, {"orders": a}), checks)
+    key = C.prefixed(F.col("o_orderkey"))
+    ids = {c: F.sha2(F.concat_ws("\x1f", F.lit(c), F.lit(code), key), 256) for c, code in (("there", "missing"), ("once", "repeated"), ("explained", "unexpected"))}
+    names = e.unionByName(a).select(key.alias("key"), F.explode(F.array(*ids.values())).alias("stable_key")).distinct()
+    return found.join(names, "stable_key").select("check_id", "scope", "key", "code")
+
+
 def queries() -> dict[str, Query]:
     return QUERIES | stored.QUERIES
 

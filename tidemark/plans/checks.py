@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import code_map, has_offset, net_holds, prefixed, redacted, same_digest
 from tidemark.operators import accounting, reconcile, timelines, totals
 from tidemark.plans import fused
+from tidemark.plans.scope import Scope
 from tidemark.schema import FINDING, as_findings
 from tidemark.shared import observed
 
@@ -34,12 +35,17 @@ class Context:
 
 @dataclass(frozen=True)
 class Check:
-    """One use of a registered check."""
+    """One use of a registered check.
+
+    only: the part of its dataset, on both sides, that it is about; findings carry its name. Its predicates are
+    on fields that both sides share, such as keys and types: a row that is in it on one side alone is missing on the other.
+    """
 
     check_id: str
     kind: str
     options: dict = field(default_factory=dict)
     severity: str = "error"
+    only: Scope | None = None
 
 
 def check(name: str):
@@ -229,6 +235,15 @@ def _of_keys(df: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(rows.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]), same, "left_semi")
 
 
+def _narrowed(ctx: Context, c: Check) -> Context:
+    """The context with the check's dataset cut to its part."""
+    dataset = c.options.get("dataset")
+    if c.only is None or dataset is None:
+        return ctx
+    part = lambda frames: {**frames, dataset: c.only.apply(frames[dataset])} if dataset in frames else frames
+    return replace(ctx, expected=part(ctx.expected), actual=part(ctx.actual))
+
+
 def verify(ctx: Context, checks: list[Check]) -> DataFrame:
     """All checks' findings, with one row a check that found nothing.
 
@@ -245,17 +260,17 @@ def verify(ctx: Context, checks: list[Check]) -> DataFrame:
     groups = fused.plan_groups(checks, ctx.expected)
     for group in groups:
         mine = {i: checks[i] for i in group}
-        dataset = checks[group[0]].options["dataset"]
-        found, n, apart, extra = fused.answer(ctx.expected[dataset], ctx.actual[dataset], mine)
+        dataset, cut = checks[group[0]].options["dataset"], _narrowed(ctx, checks[group[0]])
+        found, n, apart, extra = fused.answer(cut.expected[dataset], cut.actual[dataset], mine)
         counts |= n
         parts.append(found)
         loose += extra
         if apart is not None:  # by their own definitions, on these keys alone
             keys = apart.columns
-            few = replace(ctx, expected={**ctx.expected, dataset: _of_keys(ctx.expected[dataset], apart, keys)}, actual={**ctx.actual, dataset: _of_keys(ctx.actual[dataset], apart, keys)})
+            few = replace(cut, expected={**cut.expected, dataset: _of_keys(cut.expected[dataset], apart, keys)}, actual={**cut.actual, dataset: _of_keys(cut.actual[dataset], apart, keys)})
             rest += [_alone(few, c, i).where("code <> 'nothing_expected'") for i, c in mine.items() if c.kind in ("presence", "no_unexpected", "values")]
     together = {i for g in groups for i in g}
-    rest += [_alone(ctx, c, i) for i, c in enumerate(checks) if i not in together]
+    rest += [_alone(_narrowed(ctx, c), c, i) for i, c in enumerate(checks) if i not in together]
     if rest:
         kept, seen = observed(reduce(DataFrame.unionByName, rest), {f"n{i}": F.count_if(F.col("check") == i) for i in counts})
         counts = {i: n + (seen[f"n{i}"] or 0) for i, n in counts.items()}
@@ -274,5 +289,5 @@ def _as_findings(spark: SparkSession, ctx: Context, checks: list[Check], found:
     of = lambda get: F.element_at(F.array(*[F.lit(get(c)) for c in checks]), F.col("check") + 1)
     said = lambda n: redacted(F.col(n)) if ctx.redact else F.col(n)
     shown = found.withColumns({"check_id": of(lambda c: c.check_id), "kind": of(lambda c: c.kind), "of_dataset": of(lambda c: c.options.get("dataset", "")), "of_severity": of(lambda c: c.severity)})
-    rows = as_findings(shown, check_id=F.col("check_id"), check_type=F.col("kind"), dataset=F.col("of_dataset"), code=F.col("code"), key="key", expected=said("expected"), actual=said("actual"), detail=F.col("detail"), result=F.when(clean, "pass").otherwise("fail"), severity=F.when(clean, "info").otherwise(F.col("of_severity")), run_id=ctx.run_id, scope=ctx.scope)
+    rows = as_findings(shown, check_id=F.col("check_id"), check_type=F.col("kind"), dataset=F.col("of_dataset"), code=F.col("code"), key="key", expected=said("expected"), actual=said("actual"), detail=F.col("detail"), result=F.when(clean, "pass").otherwise("fail"), severity=F.when(clean, "info").otherwise(F.col("of_severity")), run_id=ctx.run_id, scope=of(lambda c: c.only.scope_id if c.only else ctx.scope))
     return rows

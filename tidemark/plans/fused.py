@@ -27,7 +27,8 @@ _EMPTY = "array<struct<check:int,code:string,key:string,expected:string,actual:s
 
 
 def plan_groups(checks: list, expected: dict[str, DataFrame]) -> list[list[int]]:
-    """Positions of the checks that are answered together, a list a dataset and key; checks in none of them stand alone."""
+    """Positions of the checks that are answered together, a list a dataset, key and part; checks in none of them stand alone."""
+    part = lambda c: c.only.digest() if c.only else ""
 
     def simple(options: dict) -> bool:
         kinds = {f.name: f.dataType for f in expected[options["dataset"]].schema.fields}
@@ -36,9 +37,9 @@ def plan_groups(checks: list, expected: dict[str, DataFrame]) -> list[list[int]]
     groups: dict[tuple, list[int]] = {}
     for i, c in enumerate(checks):
         if c.kind in BY_KEY and simple(c.options):
-            groups.setdefault((c.options["dataset"], tuple(c.options["keys"])), []).append(i)
+            groups.setdefault((c.options["dataset"], part(c), tuple(c.options["keys"])), []).append(i)
     for i, c in enumerate(checks):
-        if c.kind == "total" and (home := next((g for k, g in groups.items() if k[0] == c.options["dataset"]), None)):
+        if c.kind == "total" and (home := next((g for k, g in groups.items() if k[:2] == (c.options["dataset"], part(c))), None)):
             home.append(i)
     return [g for g in groups.values() if len(g) > 1]
 

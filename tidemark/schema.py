@@ -16,13 +16,13 @@ PROFILE = "dataset string, field string, type string, nullable boolean, ordinal
 FAILING = ("critical", "error")
 
 
-def as_findings(rows: DataFrame, *, check_id: str | Column, check_type: str | Column, code: str | Column, key: str | Column, dataset: str | Column, expected: Column | None = None, actual: Column | None = None, detail: Column | None = None, result: str | Column = "fail", severity: str | Column = "error", run_id: str = "", scope: str = "full") -> DataFrame:
+def as_findings(rows: DataFrame, *, check_id: str | Column, check_type: str | Column, code: str | Column, key: str | Column, dataset: str | Column, expected: Column | None = None, actual: Column | None = None, detail: Column | None = None, result: str | Column = "fail", severity: str | Column = "error", run_id: str = "", scope: str | Column = "full") -> DataFrame:
     """Rows as findings. key: what names the finding; its stable key is a hash of the check and it."""
     text = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
     col = lambda c: F.lit(c) if isinstance(c, str) else c
     name = F.col(key) if isinstance(key, str) else key
     return rows.select(
-        F.lit(run_id).alias("run_id"), col(check_id).alias("check_id"), col(check_type).alias("check_type"), F.lit(scope).alias("scope"),
+        F.lit(run_id).alias("run_id"), col(check_id).alias("check_id"), col(check_type).alias("check_type"), col(scope).alias("scope"),
         col(result).alias("result"), col(severity).alias("severity"), col(code).alias("code"),
         F.sha2(F.concat_ws("\x1f", col(check_id), col(code), F.coalesce(name.cast("string"), F.lit(""))), 256).alias("stable_key"),
         col(dataset).alias("dataset"), text(expected).alias("expected"), text(actual).alias("actual"), text(detail).alias("detail"),

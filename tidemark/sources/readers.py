@@ -62,6 +62,47 @@ def jdbc_options(dialect: str, url: str, table: str, *, partition: tuple[str, ob
     return out
 
 
+@dataclass(frozen=True)
+class Consistency:
+    """How a read of several tables or partitions hangs together: what was asked for, what the scan does, and why it is less."""
+
+    asked: str
+    strategy: str
+    reason: str = ""
+
+    @property
+    def downgraded(self) -> bool:
+        return self.asked != self.strategy
+
+    def said(self) -> str:
+        """As it stands in a capture's manifest."""
+        return f"{self.strategy} (asked for {self.asked}: {self.reason})" if self.downgraded else self.strategy
+
+
+def consistency(dialect: str, asked: str = "snapshot", partitions: int = 1, tables: int = 1) -> Consistency:
+    """The strategy of a scan by JDBC: repeatable (one session reads one table at the level of REPEATABLE) or none.
+
+    A snapshot would need one transaction for all connections, which Spark's scans don't share; the
+    downgrade is said, never silent.
+    """
+    if asked not in ("snapshot", "repeatable", "none"):
+        raise ValueError(f"no strategy {asked!r}")
+    if asked == "none":
+        return Consistency(asked, "none")
+    if partitions > 1:
+        return Consistency(asked, "none", f"{partitions} connections read one table, each in a transaction of its own")
+    if tables > 1:
+        return Consistency(asked, "none", f"{tables} tables are read by connections of their own")
+    return Consistency(asked, "repeatable", "" if asked == "repeatable" else f"{dialect} gives a scan one repeatable statement, no transaction over several")
+
+
+def read_consistent(spark: SparkSession, dialect: str, url: str, table: str, columns: list[str] | None = None, asked: str = "snapshot", **options) -> tuple[DataFrame, Consistency]:
+    """(the table, how it is read); the second goes into the manifest of a capture by said()."""
+    partition = options.get("partition")
+    how = consistency(dialect, asked, partition[3] if partition else 1)
+    return read_table(spark, dialect, url, table, columns, consistent=how.strategy == "repeatable", **options), how
+
+
 def read_table(spark: SparkSession, dialect: str, url: str, table: str, columns: list[str] | None = None, **options) -> DataFrame:
     df = spark.read.format("jdbc").options(**jdbc_options(dialect, url, table, **options)).load()
     return pick(df, columns) if columns else df
@@ -141,15 +182,23 @@ class Field:
     options: tuple[tuple[str, object], ...] = ()
 
 
-def read_fixed_width(spark: SparkSession, path: str, fields: list[Field], width: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects): rejects are lines of another width, and lines with a field that does not parse."""
+def text_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """value: the lines of text files in an encoding. Only the CSV source decodes others than UTF-8; it passes over empty lines."""
+    if encoding.upper() in ("UTF-8", "UTF8"):
+        return spark.read.text(path)
+    # one column: a separator that no text has, and nothing that quotes or escapes
+    return spark.read.csv(path, schema="value string", sep="\u0001", quote="", escape="\u0002", encoding=encoding, lineSep="\n", mode="FAILFAST", maxCharsPerColumn=-1)
+
+
+def read_fixed_width(spark: SparkSession, path: str, fields: list[Field], width: int, encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects): rejects are lines of another width (in characters), and lines with a field that does not parse."""
     taken: set[int] = set()
     for f in fields:
         span = set(range(f.start, f.start + f.length))
         if f.start < 1 or f.start + f.length - 1 > width or taken & span:
             raise ValueError(f"{f.name}: overlaps another field or leaves the line")
         taken |= span
-    lines = spark.read.text(path)
+    lines = text_lines(spark, path, encoding)
     raw = lambda f: F.substring("value", f.start, f.length)
     parsed = lines.select("value", *[declared(raw(f), f.kind, **dict(f.options)).alias(f.name) for f in fields])
     lost = F.lit(False)
