@@ -71,10 +71,13 @@ class Words:
         end = np.flatnonzero(word & after) + 1
         self.doc = np.searchsorted(begin, at)
         with np.errstate(over="ignore"):
-            power = np.cumprod(np.full(len(data) + 1, _POWER, np.uint64))
-            back = np.cumprod(np.full(len(data) + 1, _INVERSE, np.uint64))
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[data] * power[:-1])])
-            hashed = (total[end] - total[begin]) * back[begin]
+            # sums of letters times powers of their places; one array at a time is as long as the text
+            total = np.cumprod(np.full(len(data) + 1, _POWER, np.uint64))[:-1]
+            total *= _LETTER[data]
+            np.cumsum(total, out=total)
+            hashed = total[end - 1] - np.where(begin > 0, total[begin - 1], np.uint64(0))
+            del total
+            hashed *= np.cumprod(np.full(len(data) + 1, _INVERSE, np.uint64))[begin]
             hashed ^= hashed >> np.uint64(29)
             hashed *= _ODD
         distinct, first, self.which = np.unique(hashed, return_index=True, return_inverse=True)
