@@ -3,9 +3,14 @@
 import collections
 import hashlib
 import math
+import random
 import re
+import time
+import tracemalloc
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -241,6 +246,26 @@ def test_suffix_tree_sums_to_one(docs):
         assert abs((10 ** tree.log10(grams)).sum() - 1) < 1e-6
 
 
+def test_suffix_tree_memory_of_a_block():
+    """A task holds one block's arrays at a time, and few of eight bytes a symbol."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(30_000)]
+    texts = [" ".join(rng.choices(words, k=500)) for _ in range(1_600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1_600)), pa.array([i % 7 == 2 for i in range(1_600)]), pa.array(texts)], names=["row_no", "held", "text"])
+    none = np.zeros(0, np.uint64)
+
+    class Model:
+        value = (suffix_tree_lm.Tree([], none, 1.0), none, none.astype(np.int64))
+
+    for run in (suffix_tree_lm._counted(48), suffix_tree_lm._scored(Model, 48)):
+        tracemalloc.start()
+        try:
+            assert sum(r.num_rows for r in run(iter([batch])))
+            assert tracemalloc.get_traced_memory()[1] < 105 * suffix_tree_lm.BLOCK
+        finally:
+            tracemalloc.stop()
+
+
 def test_decontaminate(spark, docs, rows):
     shared = next(r[1] for r in rows if r[0] == -5)
     benchmark = spark.createDataFrame([(1, shared, "x"), (2, None, "x"), (3, "A train leaves Chicago at 9 and travels 60 km in 3 hours while Mary walks 60 km away from the station near Chicago and sits down", "x")], "item_id long, text string, hash string")

@@ -28,6 +28,8 @@ their numbers, so they may come from any plan.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from itertools import starmap
 
 import numpy as np
 import pyarrow as pa
@@ -84,27 +86,34 @@ class Stream:
         after[at[1:][at[1:] > 0] - 1] = True
         end = np.flatnonzero(~space & after) + 1
         self.of = np.searchsorted(at, begin, "right") - 1
-        power = np.cumprod(np.full(len(data) + 1, _BASE, np.uint64))
-        back = np.cumprod(np.full(len(data) + 1, _BACK, np.uint64))
-        total = np.append(np.zeros(1, np.uint64), np.cumsum(_LETTER[data] * power[:-1]))
-        self.word = np.maximum(_mixed((total[end] - total[begin]) * back[begin]), np.uint64(1))
+        # arrays of eight bytes a symbol are worked on in place and let go at once: they are most of a task's memory
+        total = np.zeros(len(data) + 1, np.uint64)
+        hashed = _LETTER[data]
+        hashed *= np.cumprod(np.full(len(data), _BASE, np.uint64))
+        np.cumsum(hashed, out=total[1:])
+        del hashed
+        self.word = total[end] - total[begin]
+        del total
+        self.word *= np.cumprod(np.full(len(data) + 1, _BACK, np.uint64))[begin]
+        self.word = np.maximum(_mixed(self.word), np.uint64(1))
         self.n_words = np.bincount(self.of, minlength=n)
         kept = ~space
         later = begin[np.append(False, self.of[1:] == self.of[:-1])[: len(begin)]]
         kept[later - 1] = True  # one space between words
-        size = np.add.reduceat(np.append(kept, False).astype(np.int64), at[:-1]) * (np.diff(at) > 0) if n else np.zeros(0, np.int64)
+        size = np.add.reduceat(np.append(kept, False), at[:-1], dtype=np.int64) * (np.diff(at) > 0) if n else np.zeros(0, np.int64)
         # before each text DEPTH ends, after it one
-        start = np.cumsum(size + DEPTH + 1) - size - 1
+        start = np.cumsum(size + DEPTH + 1) - (size + DEPTH + 1)
         line = np.full(int((size + DEPTH + 1).sum()), END, np.uint8)
-        self.text = np.repeat(np.arange(n), size + 1)
-        place = np.arange(len(self.text)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1) + np.repeat(start, size + 1)
-        is_end = np.zeros(len(self.text), bool)
-        is_end[np.cumsum(size + 1) - 1] = True
-        line[place[~is_end]] = np.where(space, np.uint8(32), data)[kept]
-        gram = np.zeros(len(line), np.uint64)
+        self.text = np.repeat(np.arange(n, dtype=np.int32), size + 1)
+        symbol = np.ones(len(line), bool)
+        symbol[(start[:, None] + np.arange(DEPTH)).ravel()] = False
+        inner = symbol.copy()
+        inner[start + DEPTH + size] = False
+        line[inner] = np.where(space, np.uint8(32), data)[kept]
+        gram = np.zeros(len(line), "<u8")
         for i in range(DEPTH + 1):
-            gram[DEPTH:] |= line[DEPTH - i : len(line) - i].astype(np.uint64) << np.uint64(8 * i)
-        self.gram = gram[place]
+            gram.view(np.uint8).reshape(-1, 8)[DEPTH:, i] = line[DEPTH - i : len(line) - i]
+        self.gram = gram[symbol]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Stream]]:
@@ -133,9 +142,8 @@ _COUNTS = "bucket int, kind int, keys binary, counts binary"
 
 def _dealt(keys: np.ndarray, kind: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of the keys by bucket, and where each bucket begins."""
-    bucket = (_mixed(keys if kind == WORDS else (keys >> np.uint64(8)) & np.uint64((1 << 8 * ROOT) - 1)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+    bucket = (_mixed(keys if kind == WORDS else (keys >> np.uint64(8)) & np.uint64((1 << 8 * ROOT) - 1)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    return np.argsort(bucket, kind="stable"), np.append(0, np.cumsum(np.bincount(bucket, minlength=buckets)))
 
 
 def _counted(buckets: int):
@@ -148,21 +156,23 @@ def _counted(buckets: int):
             rows += [(b, kind, keys[order[x:y]].tobytes(), counts[order[x:y]].tobytes()) for b, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows)) or [()] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "kind", "keys", "counts"])
 
+    def block(held: dict, batch: pa.RecordBatch, stream: Stream) -> None:
+        other = np.asarray(batch.column("held").cast(pa.uint8())).astype(bool)
+        words = np.concatenate([stream.word, np.full(len(other), END_WORD)])
+        apart = other[np.concatenate([stream.of, np.arange(len(other))])]
+        for keys, column, kind in ((words[~apart], 0, WORDS), (words[apart], 1, WORDS), (stream.gram[~other[stream.text]], 0, GRAMS)):
+            keys, n = np.unique(keys, return_counts=True)
+            counts = np.zeros((len(keys), WIDTH[kind]), np.int64)
+            counts[:, column] = n
+            held[kind] = _summed(*(np.concatenate(x) for x in zip(held[kind], (keys, counts))))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = {k: (np.zeros(0, np.uint64), np.zeros((0, w), np.int64)) for k, w in WIDTH.items()}
         held = dict(none)
-        for batch, stream in _blocks(batches):
-            other = np.asarray(batch.column("held").cast(pa.uint8())).astype(np.int64)
-            words = np.concatenate([stream.word, np.full(len(other), END_WORD)])
-            apart = other[np.concatenate([stream.of, np.arange(len(other))])]
-            for keys, column, kind in ((words[apart == 0], 0, WORDS), (words[apart == 1], 1, WORDS), (stream.gram[other[stream.text] == 0], 0, GRAMS)):
-                keys, n = np.unique(keys, return_counts=True)
-                counts = np.zeros((len(keys), WIDTH[kind]), np.int64)
-                counts[:, column] = n
-                held[kind] = _summed(*(np.concatenate(x) for x in zip(held[kind], (keys, counts))))
+        for _ in starmap(partial(block, held), _blocks(batches)):  # no block is held while the next is read
             if sum(len(k) for k, _ in held.values()) > HELD:
                 yield packets(held)
-                held = dict(none)
+                held.update(none)
         yield packets(held)
 
     return run
@@ -284,38 +294,38 @@ def _result(rows: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
 def _scored(model, buckets: int):
     """What is known of a text by the broadcast; the other words and symbols, packed by bucket. A text's sums ride along with words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def block(batch: pa.RecordBatch, stream: Stream) -> pa.RecordBatch:
         tree, head, head_n = model.value
-        for batch, stream in _blocks(batches):
-            n, out = batch.num_rows, []
-            rows, held = np.asarray(batch.column("row_no")), np.asarray(batch.column("held").cast(pa.uint8()))
-            ends = _looked_up(np.array([END_WORD]), head, head_n)[0]
-            c, frequent = _looked_up(stream.word, head, head_n), _looked_up(stream.word, head, np.ones(len(head), bool)).astype(bool)
-            grams, which = np.unique(stream.gram, return_inverse=True)
-            far = ~_looked_up(grams >> np.uint64(8), tree.decided, np.ones(len(tree.decided), bool)).astype(bool)
-            log10 = np.zeros(len(grams))
-            log10[~far] = tree.log10(grams[~far])
-            sums = np.zeros(n, _SUMS)
-            sums["base"] = np.bincount(stream.of, np.where(frequent, np.log10(c + 1.0), 0), n) + np.log10(ends + 1.0)
-            sums["known"] = np.bincount(stream.of[c > 0], minlength=n) + int(ends > 0)
-            sums["tokens"], sums["score"] = stream.n_words + 1, np.bincount(stream.text, log10[which], n)
-            rare, far = np.flatnonzero(~frequent), np.flatnonzero(far[which])
-            home, starts = _dealt(rows.view(np.uint64), WORDS, buckets)
-            for kind, keys, text in ((WORDS, stream.word[rare], stream.of[rare]), (GRAMS, stream.gram[far], stream.text[far])):
-                order, edges = _dealt(keys, kind, buckets)
-                for b, (x, y) in enumerate(zip(edges, edges[1:])):
-                    mine = home[starts[b] : starts[b + 1]] if kind == WORDS else np.zeros(0, np.int64)
-                    used, local = np.unique(np.concatenate([mine, text[order[x:y]]]), return_inverse=True)
-                    if not len(used):
-                        continue
-                    entries = np.zeros(y - x, _ENTRY)
-                    entries["key"], entries["text"] = keys[order[x:y]], local[len(mine) :]
-                    own = np.zeros(len(used), _SUMS)
-                    own[local[: len(mine)]] = sums[mine]
-                    out.append((b, kind, None, None, rows[used].tobytes(), held[used].tobytes(), entries.tobytes(), own.tobytes() if kind == WORDS else None))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*out)) or [()] * 8, (pa.int32(), pa.int32(), *[pa.binary()] * 6))], names=_PACKET_NAMES)
-
-    return run
+        n, out = batch.num_rows, []
+        rows, held = np.asarray(batch.column("row_no")), np.asarray(batch.column("held").cast(pa.uint8()))
+        ends = _looked_up(np.array([END_WORD]), head, head_n)[0]
+        c, frequent = _looked_up(stream.word, head, head_n), _looked_up(stream.word, head, np.ones(len(head), bool)).astype(bool)
+        grams, which = np.unique(stream.gram, return_inverse=True)
+        far = ~_looked_up(grams >> np.uint64(8), tree.decided, np.ones(len(tree.decided), bool)).astype(bool)
+        log10 = np.zeros(len(grams))
+        log10[~far] = tree.log10(grams[~far])
+        sums = np.zeros(n, _SUMS)
+        sums["base"] = np.bincount(stream.of, np.where(frequent, np.log10(c + 1.0), 0), n) + np.log10(ends + 1.0)
+        sums["known"] = np.bincount(stream.of[c > 0], minlength=n) + int(ends > 0)
+        sums["tokens"], sums["score"] = stream.n_words + 1, np.bincount(stream.text, log10[which], n)
+        rare, far = np.flatnonzero(~frequent), np.flatnonzero(far[which])
+        del grams, which, log10, c, frequent
+        home, starts = _dealt(rows.view(np.uint64), WORDS, buckets)
+        for kind, keys, text in ((WORDS, stream.word[rare], stream.of[rare]), (GRAMS, stream.gram[far], stream.text[far])):
+            order, edges = _dealt(keys, kind, buckets)
+            for b, (x, y) in enumerate(zip(edges, edges[1:])):
+                mine = home[starts[b] : starts[b + 1]] if kind == WORDS else np.zeros(0, np.int64)
+                used, local = np.unique(np.concatenate([mine, text[order[x:y]]]), return_inverse=True)
+                if not len(used):
+                    continue
+                entries = np.zeros(y - x, _ENTRY)
+                entries["key"], entries["text"] = keys[order[x:y]], local[len(mine) :]
+                own = np.zeros(len(used), _SUMS)
+                own[local[: len(mine)]] = sums[mine]
+                out.append((b, kind, None, None, rows[used].tobytes(), held[used].tobytes(), entries.tobytes(), own.tobytes() if kind == WORDS else None))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*out)) or [()] * 8, (pa.int32(), pa.int32(), *[pa.binary()] * 6))], names=_PACKET_NAMES)
+
+    return lambda batches: starmap(block, _blocks(batches))  # no block is held while the next is read
 
 
 def _met(model):
