@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, license_scan, line_dedup, mixing, quality_rules, secrets, simhash, suffix_dedup, suffix_tree_lm
+from tidemark.llm.common import CLEANUP, cut
 from tidemark.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -108,6 +109,28 @@ def test_line_dedup_crowded_bands(spark, monkeypatch):
     assert {r.doc_id for r in line_dedup.removed_lines(docs, threshold).collect()} == want
 
 
+def test_line_dedup_leaves_no_shuffle_files(spark, docs, monkeypatch):
+    left = []
+
+    def files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {b for b in blocks.mkString(",").split(",") if b.startswith("shuffle_")}
+
+    def watched(*args, **kwargs):
+        before = files()
+        out = cut(*args, **kwargs)
+        until = time.monotonic() + 10
+        while files() - before and time.monotonic() < until:  # they are deleted behind the caller's back
+            time.sleep(0.1)
+        left.append(len(files() - before))
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", watched)
+    assert line_dedup.removed_lines(docs).count()
+    assert len(left) >= 4 and not any(left)
+    assert spark.conf.get(CLEANUP) == "false"
+
+
 def test_line_band_recall():
     import random
 

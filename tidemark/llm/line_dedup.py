@@ -18,7 +18,8 @@ Linked lines are joined by distributed union-find. Of each component, and of
 exact repeats, the first line in the order of (document id, line number) stays.
 
 Signatures travel packed, in buckets of bounded size; a band that many lines of
-one block share sends one of them to its bucket.
+one block share sends one of them to its bucket. What a step has shuffled is
+deleted when the step's result is written.
 
 With six values a band and 20 bands a pair of similarity 0.8 is found with
 probability 0.998, one of 0.9 with 0.9999999.
@@ -394,7 +395,7 @@ def documents(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, ids) once an id and text: the id of each line, null for one without a word. Written once."""
     text = F.coalesce("text", F.lit(""))
     ids = F.transform(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(EDGE))), lambda x: F.when(x != "", F.xxhash64(x)))
-    return cut(docs.select("doc_id", F.xxhash64(text).alias("text_hash"), ids.alias("ids")))
+    return cut(docs.select("doc_id", F.xxhash64(text).alias("text_hash"), ids.alias("ids")), tidy=True)
 
 
 def _texts(docs: DataFrame, every: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -405,20 +406,20 @@ def _texts(docs: DataFrame, every: DataFrame, wanted: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     fetched = keyed.join(per_text.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select(F.split("text", "\n").alias("split"), "lines")
     lines = fetched.select("split", F.explode("lines").alias("x")).select("x.id", F.btrim(F.get("split", F.col("x.line_no")), F.lit(EDGE)).alias("line"))
-    return cut(lines.dropDuplicates(["id"]))
+    return cut(lines.dropDuplicates(["id"]), tidy=True)
 
 
 def _links(docs: DataFrame, every: DataFrame, threshold: float) -> DataFrame:
     """(a, b): links that join the same lines as all links between lines of a band."""
-    found = cut(band_groups(docs))
+    found = cut(band_groups(docs), tidy=True)
     groups = found.select(F.array_sort("ids").alias("ids")).distinct().select(F.xxhash64("ids").alias("gid"), F.explode("ids").alias("id"))
     lines = _texts(docs, every, groups.select("id").distinct())
-    links = cut(groups.join(lines, "id").repartition("gid").sortWithinPartitions("gid").mapInArrow(_verified(threshold), "a long, b long"))
+    links = cut(groups.join(lines, "id").repartition("gid").sortWithinPartitions("gid").mapInArrow(_verified(threshold), "a long, b long"), tidy=True)
     members = found.where("crowded").select("band", F.explode("ids").alias("id")).distinct()
     if members.isEmpty():
         return links
     joined = components(links).withColumnRenamed("node", "id")
-    placed = cut(members.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    placed = cut(members.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), tidy=True)
     top = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("k"))
     families = placed.join(top.where("k > 1").select("band", F.col("top.component").alias("family")), "band").select(F.col("family").alias("band"), "id", "component").distinct()
     blocks = _blocks(families, BLOCK_LINES).join(lines, "id")
