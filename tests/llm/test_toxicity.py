@@ -1,6 +1,7 @@
 """The network: gradients, held-out accuracy on the driver's labels, odd cases."""
 
 import os
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -76,3 +77,43 @@ def test_odd_cases(spark, docs, empty):
     assert T.score(empty, net).count() == 0
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.score < 0.5 for r in T.score(docs, T.fit(docs, none)).collect())
+
+
+def _many_texts(n, words=400):
+    g = np.random.default_rng(5)
+    return [" ".join(f"word{x}" for x in g.integers(0, 3000, words)) for _ in range(n)], [i % 3 == 0 for i in range(n)]
+
+
+def test_training_holds_pieces():
+    """The driver trains: no long array of the whole sample's bytes or trigrams may be held."""
+    texts, labels = _many_texts(800)
+    words = T.Words(*text_bytes(pa.array(texts, pa.string())))
+    peaks = []
+    for work in (lambda: T.Words(*text_bytes(pa.array(texts, pa.string()))), lambda: T._telling(words, np.array(labels, np.float32))):
+        tracemalloc.start()
+        work()
+        peaks.append(tracemalloc.get_traced_memory()[1] / sum(map(len, texts)))
+        tracemalloc.stop()
+    assert max(peaks) < 16, peaks
+
+
+def test_pieces_give_the_same(monkeypatch):
+    """Hashes and log odds against plain loops, whatever the size of a piece."""
+    texts, labels = _many_texts(12, 30)
+    texts, labels = [*texts, "", None, "x" * 500, " ünï  word1!"], [*labels, 1, 0, 1, 0]
+    label, seen = np.array(labels, np.float32), []
+    for piece in (1, 7, 300, 1 << 20):
+        monkeypatch.setattr(T, "PIECE", piece)
+        words = T.Words(*text_bytes(pa.array(texts, pa.string())))
+        seen.append((words.bucket.tolist(), words.which.tolist(), T._telling(words, label).tolist()))
+    assert all(s == seen[0] for s in seen)
+    inside = [set(words.which[a:b].tolist()) for a, b in zip(words.doc[:-1], words.doc[1:], strict=True)]
+    grams = [set(words.grams[a : a + n].tolist()) for a, n in zip(words.at, words.size, strict=True)]
+
+    def odds(held):
+        yes, no = sum(h and c for h, c in zip(held, labels, strict=True)), sum(h and not c for h, c in zip(held, labels, strict=True))
+        return np.log((yes + 0.5) * (len(labels) - sum(labels)) / ((no + 0.5) * sum(labels))) if yes + no >= 4 else 0
+
+    there = [set().union(*(grams[w] for w in ws)) for ws in inside]
+    want = [max(odds([w in ws for ws in inside]), *(odds([x in t for t in there]) for x in grams[w])) for w in range(len(words.bucket))]
+    assert np.allclose(seen[0][2], want)

@@ -40,6 +40,8 @@ MARGIN = 0.8
 ROUNDS, BATCH, RATE = 6, 256, 0.01
 #: Windows that are scored at once; bytes of text that are worked on at once.
 BLOCK, BYTES = 2048, 1 << 20
+#: Bytes of text, or words of it, whose long arrays are held at once.
+PIECE = 1 << 17
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -59,8 +61,9 @@ class Words:
     """
 
     def __init__(self, data: np.ndarray, at: np.ndarray) -> None:
-        data = _LOWER[data]
-        word = _WORD[data]
+        lower = data.tobytes().translate(_LOWER.tobytes())  # an index would first become eight bytes a byte
+        data, word = np.frombuffer(lower, np.uint8), np.frombuffer(lower.translate(_WORD.tobytes()), bool)
+        del lower
         inside = np.zeros(len(data) + 1, bool)  # whether the byte before belongs to the same text and is part of a word
         inside[1:] = word
         inside[at] = False
@@ -71,13 +74,18 @@ class Words:
         end = np.flatnonzero(word & after) + 1
         self.doc = np.searchsorted(begin, at)
         with np.errstate(over="ignore"):
-            # sums of letters times powers of their places; one array at a time is as long as the text
-            total = np.cumprod(np.full(len(data) + 1, _POWER, np.uint64))[:-1]
-            total *= _LETTER[data]
-            np.cumsum(total, out=total)
-            hashed = total[end - 1] - np.where(begin > 0, total[begin - 1], np.uint64(0))
-            del total
-            hashed *= np.cumprod(np.full(len(data) + 1, _INVERSE, np.uint64))[begin]
+            # sums of letters times powers of their places, a piece of the texts at a time
+            hashed, i = np.empty(len(begin), np.uint64), 0
+            while i < len(begin):
+                a = begin[i]
+                j = max(i + 1, int(np.searchsorted(end, a + PIECE, "right")))
+                b, e = begin[i:j] - a, end[i:j] - a
+                total = np.cumprod(np.full(e[-1], _POWER, np.uint64))
+                total *= _LETTER[data[a : a + e[-1]]]
+                np.cumsum(total, out=total)
+                hashed[i:j] = total[e - 1] - np.where(b > 0, total[b - 1], np.uint64(0))
+                hashed[i:j] *= np.cumprod(np.full(e[-1], _INVERSE, np.uint64))[b]
+                i = j
             hashed ^= hashed >> np.uint64(29)
             hashed *= _ODD
         distinct, first, self.which = np.unique(hashed, return_index=True, return_inverse=True)
@@ -86,8 +94,9 @@ class Words:
         size = end - begin
         self.at = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(size) else np.zeros(0, np.int64)
         place = np.arange(size.sum()) - np.repeat(self.at, size) + np.repeat(begin, size)
-        padded = np.concatenate([[0], data, [0]]).astype(np.uint64)
-        left, here, right = padded[place], padded[place + 1], padded[place + 2]
+        padded = np.zeros(len(data) + 2, np.uint8)
+        padded[1:-1] = data
+        left, here, right = (padded[place + k].astype(np.uint64) for k in range(3))
         left[place == np.repeat(begin, size)] = 0
         right[place == np.repeat(end, size) - 1] = 0
         with np.errstate(over="ignore"):
@@ -103,10 +112,10 @@ class Words:
         start = self.doc[:-1][text] + order * STRIDE
         place = start[:, None] + np.arange(WINDOW)
         padding = place >= self.doc[1:][text][:, None]
-        which = np.append(self.which, 0)
+        which = np.append(self.which, 0).astype(np.int32)
         out = which[np.where(padding, len(which) - 1, place)]
         out[padding] = len(self.bucket)
-        return out.astype(np.int64), text
+        return out, text
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -158,9 +167,9 @@ class Network:
         pooled = np.einsum("tb,tbh->bh", weight, states)
         return u, weight, pooled, pooled @ self.p["out"] + self.p["bias"]
 
-    def score(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, words: Words, windows: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(logit of every window, its words, its text)."""
-        index, text = words.windows()
+        index, text = windows or words.windows()
         x = self.inputs(words.bucket, words.grams, words.at, words.size)
         tables = {way: x @ self.p[f"W{way}"] + self.p[f"b{way}"] for way in "fb"}
         out = np.empty(len(index), np.float32)
@@ -224,19 +233,24 @@ class Adam:
 
 def _telling(words: Words, label: np.ndarray) -> np.ndarray:
     """For each distinct word, how much more often toxic texts hold it, or the most telling of its trigrams (log odds)."""
-    text = np.repeat(np.arange(len(label)), np.diff(words.doc))
-
-    def odds(keys: np.ndarray, texts: np.ndarray, n: int) -> np.ndarray:
-        pair = np.unique(keys * len(label) + texts)
-        key, toxic = pair // len(label), label[pair % len(label)]
-        yes, no = np.bincount(key, toxic, n), np.bincount(key, 1 - toxic, n)
-        return np.where(yes + no >= 4, np.log((yes + 0.5) * (1 - label).sum() / ((no + 0.5) * label.sum())), 0)
-
-    own = odds(words.which, text, len(words.bucket))
-    size = words.size[words.which]
-    ends = np.cumsum(size)
-    flat = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(words.at[words.which], size)
-    grams = odds(words.grams[flat], np.repeat(text, size), TRIGRAM_BUCKETS)
+    counts = {"word": np.zeros((2, len(words.bucket))), "gram": np.zeros((2, TRIGRAM_BUCKETS))}
+
+    def count(kind: str, keys: np.ndarray, texts: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Adds each key of a text once; (those keys, their texts)."""
+        key, at = np.divmod(np.unique(keys * len(part) + texts), len(part))
+        for row, of in zip(counts[kind], (part, 1 - part), strict=True):
+            row += np.bincount(key, of[at], len(row))
+        return key, at
+
+    edges = np.unique(np.append(np.searchsorted(words.doc, np.arange(0, words.doc[-1], PIECE)), len(label)))
+    for i, j in zip(edges[:-1], edges[1:], strict=True):  # a text's words meet only its own
+        key, at = count("word", words.which[words.doc[i] : words.doc[j]], np.repeat(np.arange(j - i), np.diff(words.doc[i : j + 1])), label[i:j])
+        size = words.size[key]
+        ends = np.cumsum(size)
+        flat = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(words.at[key], size)
+        count("gram", words.grams[flat], np.repeat(at, size), label[i:j])
+    odds = lambda yes, no: np.where(yes + no >= 4, np.log((yes + 0.5) * (1 - label).sum() / ((no + 0.5) * label.sum())), 0)
+    own, grams = odds(*counts["word"]), odds(*counts["gram"])
     return np.maximum(own, np.maximum.reduceat(grams[words.grams], words.at)) if len(words.bucket) else own
 
 
@@ -254,7 +268,7 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     worst = np.append(_telling(words, label), -30.0)[index].max(axis=1)
     for no in range(rounds):
         if no:
-            worst = net.score(words)[0]
+            worst = net.score(words, (index, text))[0]
         best = np.maximum.reduceat(worst, first)
         near = worst >= np.repeat(best, np.diff(np.append(first, len(text)))) - 1e-6
         toxic = np.flatnonzero(near & (label[text] > 0))
