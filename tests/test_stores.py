@@ -1,15 +1,18 @@
 """Evidence, payload files and captures that notice what happened to them; ordered fingerprints; mergeable aggregates."""
 
 import glob
+import hashlib
 import os
 import time
 from decimal import Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import ordered
 from tidemark.operators import mergeable
+from tidemark.plans import stored
 from tidemark.sources import capture, evidence, payload_sink, readers
 
 FOUND = "check_id string, code string, stable_key string, dataset string, result string, severity string, expected string, actual string, detail string"
@@ -83,6 +86,44 @@ def test_payload_files_abort(spark, tmp_path, bad):
     assert [p for p in glob.glob(f"{root}/**", recursive=True) if os.path.isfile(p)] == []
 
 
+def test_payloads_read_by_their_list(spark, tmp_path, monkeypatch):
+    """Empty and null contents come back, a move that fails leaves nothing, and the driver moves no file and lists none."""
+    root = str(tmp_path / "target")
+    rows = [(f"a/{i}", b"x" * i) for i in range(5)] + [("b/null", None)]
+    files = spark.createDataFrame(rows, payload_sink.SCHEMA).repartition(3)
+    payload_sink.write_payloads(files, root, "r1")
+    got = {r.relative_path: (r.length, r.sha256) for r in payload_sink.read_payloads(spark, root, "r1").collect()}
+    assert got == {p: (None, None) if c is None else (len(c), hashlib.sha256(c).hexdigest()) for p, c in rows}
+    assert sorted(os.path.basename(p) for p in glob.glob(f"{root}/r1/**", recursive=True) if os.path.isfile(p)) == list("01234")
+    assert payload_sink.lost_payloads(spark, root, "r1").isEmpty()
+    os.remove(f"{root}/r1/a/0")
+    with pytest.raises(Exception, match="a/0"):
+        payload_sink.read_payloads(spark, root, "r1").collect()
+    driver = os.getpid()
+
+    def fails_late(store, source, target, made, move=payload_sink._move):
+        assert os.getpid() != driver
+        if target.endswith("/3"):
+            time.sleep(0.5)
+            raise OSError("no move")
+        return move(store, source, target, made)
+
+    monkeypatch.setattr(payload_sink, "_move", fails_late)
+    with pytest.raises(Exception, match="no move"):
+        payload_sink.write_payloads(files, root, "r2")
+    assert [p for p in glob.glob(f"{root}/r2*/**", recursive=True) if os.path.isfile(p)] == []
+
+
+def test_payload_round_trip_of_odd_texts(spark, tmp_path):
+    """Documents with an empty and a null text against the SQL."""
+    docs = spark.createDataFrame([(1, "é"), (2, ""), (3, None), (4, " \n")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in stored.QUERIES["payload_round_trip"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.sql(stored.SQL["payload_round_trip"]).fetchall()) and len(got) == 4
+
+
 def test_capture_of_files_that_change(spark, tmp_path):
     src, root = tmp_path / "src", str(tmp_path / "cap")
     src.mkdir()
