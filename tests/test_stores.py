@@ -124,6 +124,13 @@ def test_payload_round_trip_of_odd_texts(spark, tmp_path):
     assert got == set(con.sql(stored.SQL["payload_round_trip"]).fetchall()) and len(got) == 4
 
 
+def test_payloads_without_a_list_on_the_driver(spark, sf_dir, monkeypatch):
+    """The driver holds no list of files: only tasks move, and no reader lists the run's folder."""
+    monkeypatch.setattr(readers, "read_files", None)
+    monkeypatch.setattr(payload_sink, "_read", lambda store, at, read=payload_sink._read, driver=os.getpid(): read(store, at) if os.getpid() != driver else 1 / 0)
+    assert stored.QUERIES["payload_round_trip"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
 def test_capture_of_files_that_change(spark, tmp_path):
     src, root = tmp_path / "src", str(tmp_path / "cap")
     src.mkdir()
