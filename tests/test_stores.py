@@ -1,5 +1,6 @@
 """Evidence, payload files and captures that notice what happened to them; ordered fingerprints; mergeable aggregates."""
 
+import dataclasses
 import glob
 import hashlib
 import os
@@ -192,3 +193,22 @@ def test_mergeable(spark, held):
     moved = df.withColumn("v", F.when((F.col("g") == "g1") & (F.col("h") == 1), F.lit(65.0)).otherwise(F.col("v"))).where("g IS NULL OR g <> 'g2'")
     drift = {r.g: r.distance for r in mergeable.distribution_drift(df, moved, ["g"], mergeable.histogram("v", 0, 10, 5)).collect()}
     assert drift[None] == 0 and drift["g0"] == 0 and 0.3 < drift["g1"] < 0.6 and drift["g2"] == 1
+
+
+def test_mergeable_one_by_one(spark, monkeypatch):
+    """Many groups of few rows: the same from states that are made and merged one by one and at once; no group is a Python call of its own."""
+    from pyspark.sql.group import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", None)
+    at_once = mergeable.histogram("v", 0, 10, 5)
+    single = dataclasses.replace(at_once, partials=None, merges=None, finishes=None)
+    k = F.col("id")
+    df = spark.range(0, 30_000, 1, 5).select(F.when(k % 7 != 0, k % 4_001).alias("g"), F.when(k % 3 == 0, -0.0).when(k % 3 == 1, 0.0).otherwise(F.lit("NaN").cast("double")).alias("h"), F.when(k % 11 != 0, (k % 70 - 5).cast("double")).alias("v"))
+    want = {}
+    for r in df.select("g", F.when(F.isnan("h"), "n").otherwise("z").alias("h"), "v").collect():
+        counts = want.setdefault((r.g, r.h), [0] * 6)
+        counts[5 if r.v is None else min(4, max(0, int(r.v // 10)))] += 1
+    for how in (at_once, single):
+        for held in (100, 100_000):
+            out = mergeable.merged(df, ["g", "h"], how, salts=3, held=held).collect()
+            assert {(r.g, "n" if r.h != r.h else "z"): r.counts for r in out} == want and len(out) == len(want)

@@ -19,33 +19,66 @@ from pyspark.sql import functions as F
 
 #: States of a group that are merged by one task of the first level, are those of so many tasks' remainders.
 SALTS = 32
-#: States that a task holds before it sends them on.
+#: States that a task holds before it sends them on, and their bytes.
 HELD = 50_000
+HELD_BYTES = 1 << 28
 
 
 @dataclass(frozen=True)
 class Mergeable:
-    """partial: a batch of the columns to a state; merge: two states to one, in any order; finish: a state to a row in the types of schema."""
+    """partial: a batch of the columns to a state; merge: two states to one, in any order; finish: a state to a row in the types of schema.
+
+    The others do the same for many groups at a time, where groups are small; where they are not given, the groups are gone through one by one.
+    partials: a batch and its rows' group numbers (none left out) to a state a group; merges: states and where each group of them begins to a state a group; finishes: states to columns.
+    """
 
     columns: tuple[str, ...]
     partial: Callable[[pa.RecordBatch], bytes]
     merge: Callable[[bytes, bytes], bytes]
     finish: Callable[[bytes], tuple]
     schema: str
-
-
-def _groups(batch: pa.RecordBatch, group: list[str]) -> Iterator[tuple[tuple, pa.Array]]:
-    """Each group's values in a batch, with its rows."""
+    partials: Callable[[pa.RecordBatch, np.ndarray], pa.Array] | None = None
+    merges: Callable[[pa.Array, np.ndarray], pa.Array] | None = None
+    finishes: Callable[[pa.Array], list[pa.Array]] | None = None
+
+    def states(self, batch: pa.RecordBatch, codes: np.ndarray) -> pa.Array:
+        if self.partials:
+            return self.partials(batch, codes)
+        order = np.argsort(codes, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(codes[order])) + 1)
+        return pa.array([self.partial(batch.take(pa.array(rows))) for rows in parts], pa.binary())
+
+    def together(self, states: pa.Array, begins: np.ndarray) -> pa.Array:
+        if self.merges:
+            return self.merges(states, begins)
+        each, ends = states.to_pylist(), [*begins[1:].tolist(), len(states)]
+        return pa.array([reduce(self.merge, each[i:j]) for i, j in zip(begins.tolist(), ends, strict=True)], pa.binary())
+
+    def results(self, states: pa.Array, types: list[pa.DataType]) -> list[pa.Array]:
+        if self.finishes:
+            return self.finishes(states)
+        rows = [self.finish(x) for x in states.to_pylist()]
+        return [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+
+
+def _codes(batch: pa.RecordBatch, group: list[str]) -> np.ndarray:
+    """Each row's group as a number from 0 on, none left out."""
     codes = np.zeros(batch.num_rows, np.int64)
     for g in group:
         column = batch.column(g).dictionary_encode(null_encoding="encode")
         codes = codes * len(column.dictionary) + np.asarray(column.indices)
         codes = np.unique(codes, return_inverse=True)[1]
-    order = np.argsort(codes, kind="stable")
-    edges = np.flatnonzero(np.diff(codes[order], prepend=-1))
-    for rows in np.split(order, edges[1:]):
-        if len(rows):
-            yield tuple(batch.column(g)[int(rows[0])].as_py() for g in group), pa.array(rows)
+    return codes
+
+
+def _begins(codes: np.ndarray) -> np.ndarray:
+    """Where a row's group is not that of the row before."""
+    return np.flatnonzero(np.diff(codes, prepend=-1))
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Batches on end as one; more than 2 GB of states in it are an error."""
+    return batches[0] if len(batches) == 1 else pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in batches]) for i in range(batches[0].num_columns)], schema=batches[0].schema)
 
 
 def merged(df: DataFrame, group: list[str], how: Mergeable, salts: int = SALTS, held: int = HELD) -> DataFrame:
@@ -54,39 +87,47 @@ def merged(df: DataFrame, group: list[str], how: Mergeable, salts: int = SALTS,
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name in group]
     types = {f.name: f.dataType for f in picked.schema}
 
-    def emit(states: dict[tuple, bytes], schema: pa.Schema, salt: int | None) -> pa.RecordBatch:
-        keys = list(states)
-        columns = [pa.array([k[i] for k in keys], schema.field(g).type) for i, g in enumerate(group)]
-        names = list(group)
-        if salt is not None:
-            columns.append(pa.array([salt] * len(keys), pa.int32()))
-            names.append("_salt")
-        return pa.RecordBatch.from_arrays([*columns, pa.array(list(states.values()), pa.binary())], names=[*names, "_state"])
+    def lines(keys: pa.RecordBatch, rows: np.ndarray, states: pa.Array, names: list[str]) -> pa.RecordBatch:
+        """A row a state, with the names' values in rows."""
+        return pa.RecordBatch.from_arrays([*(keys.column(g).take(pa.array(rows)) for g in names), states], names=[*names, "_state"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states, salt, schema = {}, TaskContext.get().partitionId() % salts, None
+        salt, kept = TaskContext.get().partitionId() % salts, []
+
+        def salted(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(batch.column(g) for g in group), pa.array(np.full(batch.num_rows, salt, np.int32)), batch.column("_state")], names=[*group, "_salt", "_state"])
+
         for batch in batches:
-            schema = batch.schema
-            for key, rows in _groups(batch, group):
-                new = how.partial(batch.take(rows).select(list(how.columns)))
-                states[key] = how.merge(states[key], new) if key in states else new
-            if len(states) > held:
-                yield emit(states, schema, salt)
-                states = {}
-        if states:
-            yield emit(states, schema, salt)
-
-    def again(keep_salt: bool):
+            if batch.num_rows:
+                codes = _codes(batch, group)
+                kept.append(lines(batch, np.unique(codes, return_index=True)[1], how.states(batch.select(list(how.columns)), codes), group))
+            if sum(x.num_rows for x in kept) > held or sum(x.nbytes for x in kept) > HELD_BYTES:
+                one = _one(kept)
+                codes = _codes(one, group)
+                order = np.argsort(codes, kind="stable")
+                begins = _begins(codes[order])
+                kept = [lines(one, order[begins], how.together(one.column("_state").take(pa.array(order)), begins), group)]
+                if 2 * kept[0].num_rows > held or 2 * kept[0].nbytes > HELD_BYTES:
+                    yield salted(kept[0])
+                    kept = []
+        for x in kept:
+            yield salted(x)
+
+    def again(names: list[str]):
+        """States of rows in order of names: each run of the same values becomes one."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key = state = schema = salt = None
+            last: list[pa.RecordBatch] = []  # of the last values, which may go on
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                schema, key = batch.schema, tuple(batch.column(g)[0].as_py() for g in group)
-                salt = batch.column("_salt")[0].as_py() if keep_salt else None
-                state = reduce(how.merge, batch.column("_state").to_pylist(), state) if state is not None else reduce(how.merge, batch.column("_state").to_pylist())
-            if schema is not None:
-                yield emit({key: state}, schema, salt)
+                one = _one([*last, batch])
+                begins = _begins(_codes(one, names))
+                done = lines(one, begins, how.together(one.column("_state"), begins), names)
+                last = [_one([done.slice(done.num_rows - 1)])]
+                if done.num_rows > 1:
+                    yield done.slice(0, done.num_rows - 1)
+            yield from last
 
         return run
 
@@ -94,8 +135,7 @@ def merged(df: DataFrame, group: list[str], how: Mergeable, salts: int = SALTS,
         from pyspark.sql.pandas.types import to_arrow_type
 
         for batch in batches:
-            rows = [how.finish(x) for x in batch.column("_state").to_pylist()]
-            made = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(out.fields)]
+            made = how.results(batch.column("_state"), [to_arrow_type(f.dataType) for f in out.fields])
             yield pa.RecordBatch.from_arrays([*(batch.column(g) for g in group), *made], names=[*group, *out.names])
 
     from pyspark.sql.types import StructType
@@ -104,23 +144,48 @@ def merged(df: DataFrame, group: list[str], how: Mergeable, salts: int = SALTS,
     head = ", ".join(kinds)
     if missing := [g for g in group if g not in types]:
         raise ValueError(f"no such column: {', '.join(missing)}")
+    # one zero a group, as where Spark groups
+    picked = picked.withColumns({g: (F.col(f"`{g}`") + F.lit(0.0)).cast(types[g]) for g in group if types[g].simpleString() in ("float", "double")})
+    ordered = lambda df, names: df.repartition(*names).sortWithinPartitions(*names)
     states = picked.mapInArrow(partial, f"{head}, _salt int, _state binary")
-    some = states.groupBy(*group, "_salt").applyInArrow(again(True), f"{head}, _salt int, _state binary")
-    one = some.groupBy(*group).applyInArrow(again(False), f"{head}, _state binary")
+    some = ordered(states, [*group, "_salt"]).mapInArrow(again([*group, "_salt"]), f"{head}, _salt int, _state binary")
+    one = ordered(some.drop("_salt"), group).mapInArrow(again(group), f"{head}, _state binary")
     return one.mapInArrow(last, f"{head}, {how.schema}")
 
 
+def _matrix(states: pa.Array, width: int) -> np.ndarray:
+    """States of so many numbers each, a row each."""
+    _, at, data = states.buffers()
+    begin = int(np.frombuffer(at, np.int32)[states.offset]) if len(states) else 0
+    return np.frombuffer(data, np.int64, len(states) * width, begin).reshape(-1, width) if len(states) else np.zeros((0, width), np.int64)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of numbers as states."""
+    at = np.arange(len(rows) + 1, dtype=np.int32) * (8 * rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(rows, np.int64))])
+
+
 def histogram(measure: str, low: float, width: float, bins: int) -> Mergeable:
     """Counts of a number by bins of equal width; values below and above go to the first and the last bin, nulls are counted apart."""
+    size = bins + 1
 
-    def partial(batch: pa.RecordBatch) -> bytes:
+    def partials(batch: pa.RecordBatch, codes: np.ndarray) -> pa.Array:
         column = batch.column(measure)
-        values = np.asarray(column.drop_null().cast(pa.float64()))
-        at = np.clip(np.floor((values - low) / width), 0, bins - 1).astype(np.int64)
-        return np.append(np.bincount(at, minlength=bins), column.null_count).astype(np.int64).tobytes()
+        null = np.asarray(column.is_null())
+        at = np.full(len(column), bins, np.int64)
+        at[~null] = np.clip(np.floor((np.asarray(column.drop_null().cast(pa.float64())) - low) / width), 0, bins - 1).astype(np.int64)
+        n = int(codes.max()) + 1
+        return _binary(np.bincount(codes * size + at, minlength=n * size).reshape(n, size))
+
+    def finishes(states: pa.Array) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(pa.array(np.arange(len(states) + 1, dtype=np.int32) * size), pa.array(_matrix(states, size).ravel()))]
 
     add = lambda x, y: (np.frombuffer(x, np.int64) + np.frombuffer(y, np.int64)).tobytes()
-    return Mergeable((measure,), partial, add, lambda x: (np.frombuffer(x, np.int64).tolist(),), "counts array<bigint>")
+    return Mergeable(
+        (measure,), lambda batch: partials(batch, np.zeros(batch.num_rows, np.int64))[0].as_py(), add, lambda x: (np.frombuffer(x, np.int64).tolist(),), "counts array<bigint>",
+        partials, lambda states, begins: _binary(np.add.reduceat(_matrix(states, size), begins, axis=0)), finishes,
+    )
 
 
 def distribution_drift(expected: DataFrame, actual: DataFrame, group: list[str], how: Mergeable) -> DataFrame:
