@@ -10,11 +10,12 @@ from decimal import Decimal
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import ordered
 from tidemark.operators import mergeable
 from tidemark.plans import stored
-from tidemark.sources import capture, evidence, payload_sink, readers
+from tidemark.sources import capture, evidence, payload_sink, readers, strict_json
 
 FOUND = "check_id string, code string, stable_key string, dataset string, result string, severity string, expected string, actual string, detail string"
 
@@ -57,6 +58,24 @@ def test_evidence(spark, tmp_path):
         evidence.load(spark, root, "r2")
 
 
+def test_evidence_is_parsed_once(spark, tmp_path):
+    """Each record is parsed once, and what load returns is what was looked at, whatever happens to the files afterwards."""
+    root = str(tmp_path / "ev")
+    evidence.save(findings(spark), root, "r1")
+    typed = strict_json.typed_records(spark, f"{root}/r1/records", T.StructType.fromDDL(evidence.RECORD), lines=True)
+    assert typed._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    kept = evidence.load(spark, root, "r1")
+    before = sorted(map(tuple, kept.collect()), key=str)
+    for part in glob.glob(f"{root}/r1/records/part-*"):
+        text = open(part).read()
+        open(part, "w").write(text.replace('"fail"', '"pass"'))
+    for crc in glob.glob(f"{root}/r1/records/.*.crc"):
+        os.remove(crc)
+    assert sorted(map(tuple, kept.collect()), key=str) == before and len(before) == 41
+    with pytest.raises(ValueError, match="not those"):
+        evidence.load(spark, root, "r1")
+
+
 def test_payload_files(spark, tmp_path):
     root = str(tmp_path / "target")
     files = spark.createDataFrame([(f"a/{i % 3}/{i}.bin", bytes([i]) * i) for i in range(31)], payload_sink.SCHEMA).repartition(4)

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.canonical import LANES, row_fingerprint
 from tidemark.functions.columns import evidence_id
+from tidemark.shared import observed
 from tidemark.sources import strict_json
 
 # Fixed value: the format's name in the manifest.
@@ -38,9 +39,18 @@ def records(found: DataFrame, run_id: str) -> DataFrame:
     return each.unionByName(summary)
 
 
-def _lanes(df: DataFrame) -> dict:
-    """Count and set fingerprint as sums that a write can observe."""
-    h = row_fingerprint(df)
+#: Holds a record's digest while it is written or read.
+DIGEST = "_tm_digest"
+
+
+def _digested(df: DataFrame) -> DataFrame:
+    """df with each record's digest, worked out once for all sums."""
+    return df.withColumn(DIGEST, row_fingerprint(df))
+
+
+def _lanes() -> dict:
+    """Count and set fingerprint of what _digested gives, as sums that a write can observe."""
+    h = F.col(DIGEST)
     return {"n": F.count(F.lit(1)), **{f"lane{i}": F.sum(F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)") for i in range(LANES)}}
 
 
@@ -64,7 +74,7 @@ def save(found: DataFrame, root: str, run_id: str) -> dict:
 
     spark, kept, seen = found.sparkSession, records(found, run_id), Observation()
     # a null is written as such, so that what is read has the fields that were written
-    kept.observe(seen, *[c.alias(n) for n, c in _lanes(kept).items()]).write.mode("errorifexists").option("ignoreNullFields", False).json(f"{root}/{run_id}/records")
+    _digested(kept).observe(seen, *[c.alias(n) for n, c in _lanes().items()]).drop(DIGEST).write.mode("errorifexists").option("ignoreNullFields", False).json(f"{root}/{run_id}/records")
     manifest = {"format": FORMAT, "run_id": run_id, "n_records": seen.get["n"], "fingerprint": _fingerprint(seen.get)}
     manifest["seal"] = _sealed(manifest)
     part, fs = _files(spark, f"{root}/{run_id}/manifest.partial")
@@ -89,10 +99,12 @@ def manifest_of(spark: SparkSession, root: str, run_id: str) -> dict:
 
 
 def load(spark: SparkSession, root: str, run_id: str) -> DataFrame:
-    """A run's records, after their number and fingerprint were found to be the manifest's. A line that is no record is an error."""
+    """A run's records, after their number and fingerprint were found to be the manifest's. A line that is no record is an error.
+
+    The records are read once and kept in the shared folder, so that what is returned is what was looked at.
+    """
     manifest = manifest_of(spark, root, run_id)
-    kept = strict_json.typed_records(spark, f"{root}/{run_id}/records", T.StructType.fromDDL(RECORD), lines=True)
-    seen = kept.agg(*[c.alias(n) for n, c in _lanes(kept).items()]).first().asDict()
+    kept, seen = observed(_digested(strict_json.typed_records(spark, f"{root}/{run_id}/records", T.StructType.fromDDL(RECORD), lines=True)), _lanes())
     if seen["n"] != manifest["n_records"] or _fingerprint(seen) != manifest["fingerprint"]:
         raise ValueError(f"{run_id}: the records are not those that were written")
-    return kept
+    return kept.drop(DIGEST)

@@ -67,18 +67,23 @@ def _value(p: Property, kind: Column, found: Column) -> Column:
     return from_text
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """df, whose columns are worked out once a row. Otherwise a filter on what is made of them works them out again wherever it names them, and a text is parsed hundreds of times."""
+    return df.select(F.inline_outer(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def _parsed(df: DataFrame, record: str, keep: list[str]) -> DataFrame:
     """keep, _record, _variant, and _broken: why a text is no VARIANT."""
-    parsed = df.select(*keep, F.col(record).alias("_record"), F.try_parse_json(record).alias("_variant"))
+    parsed = _once(df.select(*keep, F.col(record).alias("_record"), F.try_parse_json(record).alias("_variant")))
     return parsed.withColumn("_broken", F.when(F.col("_variant").isNull(), F.when(F.get_json_object("_record", "$").isNull(), "syntax").otherwise("repeated")))
 
 
 def judged(parsed: DataFrame, properties: list[Property], keep: list[str] = ()) -> DataFrame:
     """keep, _record, the properties, and _code and _lost: what is wrong with a record, and the properties whose values are. parsed: as _parsed gives it."""
     at = lambda p: F.try_variant_get("_variant", "$" + "".join(f"['{s}']" for s in p.at), "variant")
-    found = parsed.select("*", *[at(p).alias(f"_found{i}") for i, p in enumerate(properties)])
-    found = found.select("*", *[F.schema_of_variant(f"_found{i}").alias(f"_kind{i}") for i in range(len(properties))])
-    read = found.select("*", *[_value(p, F.col(f"_kind{i}"), F.col(f"_found{i}")).alias(f"_value{i}") for i, p in enumerate(properties)])
+    found = _once(parsed.select("*", *[at(p).alias(f"_found{i}") for i, p in enumerate(properties)]))
+    found = _once(found.select("*", *[F.schema_of_variant(f"_found{i}").alias(f"_kind{i}") for i in range(len(properties))]))
+    read = _once(found.select("*", *[_value(p, F.col(f"_kind{i}"), F.col(f"_found{i}")).alias(f"_value{i}") for i, p in enumerate(properties)]))
 
     def gone(i: int, p: Property) -> Column:
         kind = F.col(f"_kind{i}")
